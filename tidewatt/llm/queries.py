@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mpegts
+from . import chat, mpegts, simhash
 
-QUERIES = {f.__name__: f for f in (mpegts.op3_mpegts, chat.op10_chat)}
+QUERIES = {f.__name__: f for f in (mpegts.op3_mpegts, simhash.op4_simhash, chat.op10_chat)}
 ORACLE_SQL: dict[str, str] = {**chat.ORACLE}
