@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mpegts, quality, simhash, toxicity
+from . import chat, mpegts, packing, quality, simhash, toxicity
 
-QUERIES = {f.__name__: f for f in (toxicity.op2_toxicity, mpegts.op3_mpegts, simhash.op4_simhash, quality.op7_quality, chat.op10_chat)}
+QUERIES = {f.__name__: f for f in (toxicity.op2_toxicity, mpegts.op3_mpegts, simhash.op4_simhash, quality.op7_quality, packing.op9_packing, chat.op10_chat)}
 ORACLE_SQL: dict[str, str] = {**chat.ORACLE}
