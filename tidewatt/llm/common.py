@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import session
+
 #: Words are runs of anything but ASCII white space.
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 #: Rows and bytes that go to a Python worker at once.
@@ -22,6 +24,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound what a Python worker holds: texts are long, and Spark's default of 10,000 rows a batch is not."""
+    session.ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
 

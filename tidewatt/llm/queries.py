@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, mpegts, packing, quality, simhash, toxicity, warc
+from . import chat, mpegts, packing, quality, sentencepiece_codec, simhash, toxicity, warc
 
-QUERIES = {f.__name__: f for f in (toxicity.op2_toxicity, mpegts.op3_mpegts, simhash.op4_simhash, warc.op5_warc, quality.op7_quality, packing.op9_packing, chat.op10_chat)}
+QUERIES = {f.__name__: f for f in (toxicity.op2_toxicity, mpegts.op3_mpegts, simhash.op4_simhash, warc.op5_warc, quality.op7_quality, sentencepiece_codec.op8_sentencepiece, packing.op9_packing, chat.op10_chat)}
 ORACLE_SQL: dict[str, str] = {**warc.ORACLE, **chat.ORACLE}
