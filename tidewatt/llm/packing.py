@@ -45,7 +45,7 @@ class WordEncoder:
         words = [WORD.findall(t) for t in bodies]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*words) - self.known.keys())
+        new = [w for w in set().union(*words) if w not in self.known]
         for a in range(0, len(new), 4_096):
             part = new[a : a + 4_096]
             self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))

@@ -130,7 +130,7 @@ class Codec:
         runs = [self.run.findall(self.normalizer.normalize_str(t)) if t else [] for t in bodies]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list(set().union(*runs) - self.known.keys())
+        new = [r for r in set().union(*runs) if r not in self.known]
         known = self.known if self.by_runs else {}
         for a in range(0, len(new), AT_ONCE):
             part = new[a : a + AT_ONCE]

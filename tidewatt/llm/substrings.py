@@ -40,8 +40,7 @@ _hashes: dict[bytes, int] = {}
 def word_hashes(words: list[bytes]) -> np.ndarray:
     if len(_hashes) > REMEMBERED:
         _hashes.clear()
-    new = set(words) - _hashes.keys()
-    _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in new)
+    _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) if w not in _hashes)
     return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
 
 

@@ -33,6 +33,11 @@ def _rank(value: str, by: list[str]) -> Column:
     return F.rank().over(w) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2
 
 
+def pearson(a: Column, b: Column) -> Column:
+    """Spark's own ``corr`` raises an error where one side is constant; this is null there."""
+    return F.covar_pop(a, b) / F.nullif(F.stddev_pop(a) * F.stddev_pop(b), F.lit(0.0))
+
+
 def correlation(df: DataFrame, columns, method: str = "pearson", keys=()) -> DataFrame:
     """``a, b, r, n`` for each pair of columns, over the rows where both have values.
 
@@ -42,13 +47,13 @@ def correlation(df: DataFrame, columns, method: str = "pearson", keys=()) -> Dat
     if method not in METHODS:
         raise ValueError(f"method must be one of {METHODS}")
     if method == "pearson":
-        found = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.corr(F.when(number(b).isNotNull(), number(a)), F.when(number(a).isNotNull(), number(b))).alias("r"), F.count_if(number(a).isNotNull() & number(b).isNotNull()).alias("n")) for a, b in _pairs(columns)))
+        found = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), pearson(F.when(number(b).isNotNull(), number(a)), F.when(number(a).isNotNull(), number(b))).alias("r"), F.count_if(number(a).isNotNull() & number(b).isNotNull()).alias("n")) for a, b in _pairs(columns)))
         return df.groupBy(*keys).agg(found.alias("p")).select(*keys, F.explode("p").alias("p")).select(*keys, "p.*")
     by = [*keys, "a", "b"]
     rows = _long(df, columns, keys)
     if method == "spearman":
         ranked = rows.withColumns({"rx": _rank("x", by), "ry": _rank("y", by)})
-        return ranked.groupBy(*by).agg(F.corr("rx", "ry").alias("r"), F.count("*").alias("n"))
+        return ranked.groupBy(*by).agg(pearson(F.col("rx"), F.col("ry")).alias("r"), F.count("*").alias("n"))
     kinds = ", ".join(f"{k} {df.schema[k].dataType.simpleString()}" for k in keys)
     schema = f"{kinds + ', ' if kinds else ''}a string, b string, r double, n long"
 
