@@ -13,6 +13,9 @@ start. An empty table gives an empty result; further columns are ignored.
 
 from __future__ import annotations
 
+import functools
+import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -28,27 +31,55 @@ CAPACITY, END_ID = 2_048, 1
 #: Pieces of a group on average; its lengths and ids are all that a task holds.
 GROUP = 16_384
 #: Encoded words that a Python worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
+_MARKS = re.compile("[\u0130\u0300-\u036f\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f]|<\\|")
+#: Punctuation between a letter and white space, a piece of its own to the tokenizer.
+_TAIL = re.compile(r"(?<=[^\W\d_])[.,;:!?]+(?=[\x20\x09-\x0D]|\Z)")
+
+
 class WordEncoder:
-    """Ids of whole texts as little-endian uint32. The tokenizer never joins characters across ASCII white
-    space, so the ids of a text are those of its words in turn, and words are encoded once and remembered."""
+    """Ids of whole texts as little-endian uint32. The tokenizer lower-cases and never joins characters across white
+    space or between a letter and punctuation, so the ids of a text are those of its words in turn. Words are encoded
+    many at once, told apart by their offsets, and remembered as long as the worker lives."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @classmethod
+    @functools.cache
+    def of(cls, path: str) -> "WordEncoder":
+        return cls(path)
+
+    @staticmethod
+    def words(text: str) -> list[str]:
+        # Only A-Z are lowered here, and not before combining marks, which normalisation may join to them, nor where a
+        # special token could come about, nor beside the one letter that lowers to a letter and a mark.
+        if _MARKS.search(text):
+            return WORD.findall(text)
+        return WORD.findall(_TAIL.sub(r" \g<0>", text.encode().lower().decode()))
+
+    def _learn(self, new: list[str]) -> None:
+        joined = " ".join(new)
+        if not unicodedata.is_normalized("NFC", joined) or "<|" in joined:
+            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True))
+            return
+        e = self.tokenizer.encode(joined, add_special_tokens=False)
+        raw, starts = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+        ends = 4 * np.searchsorted(starts, np.cumsum([len(w) + 1 for w in new]))
+        self.known.update((w, raw[a:z]) for w, a, z in zip(new, [0, *ends.tolist()], ends.tolist(), strict=False))
+
     def encode(self, bodies: list[str]) -> list[bytes]:
-        words = [WORD.findall(t) for t in bodies]
+        words = [self.words(t) for t in bodies]
         if len(self.known) > REMEMBERED:
             self.known.clear()
         new = [w for w in set().union(*words) if w not in self.known]
-        for a in range(0, len(new), 4_096):
-            part = new[a : a + 4_096]
-            self.known.update((w, np.array(e.ids, "<u4").tobytes()) for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        for a in range(0, len(new), 1_024):
+            self._learn(new[a : a + 1_024])
         return [b"".join(map(self.known.__getitem__, w)) for w in words]
 
 
@@ -56,7 +87,7 @@ def cut(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id:
     """The pieces of ``docs(doc_id, text)``: full windows and a remainder; ``with_ids`` adds their tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, step = WordEncoder(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
+        encoder, end, step = WordEncoder.of(tokenizer_path), np.array([end_id], "<u4").tobytes(), 4 * capacity
         for b in batches:
             out, ids = [], []
             for key, raw in zip(b.column("doc_id").to_pylist(), encoder.encode(texts(b)), strict=True):
