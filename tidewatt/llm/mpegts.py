@@ -134,7 +134,7 @@ def demux(media: bytes) -> dict:
         flat = q[np.arange(PACKET) >= start[:, None]].tobytes()
         ends = np.cumsum(PACKET - start)
         begins = (ends - (PACKET - start))[(q[:, 1] & 0x40) > 0].tolist()
-        for a, b in zip(begins, [*begins[1:], len(flat)], strict=True):
+        for a, b in zip(begins, [*begins[1:], len(flat)], strict=False):
             if flat[a : a + 3] != b"\x00\x00\x01":
                 raise ValueError("start code of an elementary packet")
             length, flags, head = int.from_bytes(flat[a + 4 : a + 6], "big"), flat[a + 7], flat[a + 8]

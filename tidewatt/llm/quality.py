@@ -72,7 +72,7 @@ class Network:
         h = np.maximum(raw + self.p["filter_b"], 0)
         first = np.searchsorted(of, np.arange(n))
         count = np.diff(np.append(first, len(of)))[:, None]
-        f = np.concatenate([np.add.reduceat(h, first) / count, np.maximum.reduceat(h, first)], 1).astype(np.float32)
+        f = np.concatenate([np.add.reduceat(h, first) / count, np.maximum.reduceat(h, first)], 1).astype(h.dtype)
         hidden = np.maximum(f @ self.p["dense"] + self.p["dense_b"], 0)
         return (hidden @ self.p["out"] + self.p["out_b"])[:, 0], (h, where, count, f, hidden)
 
@@ -82,7 +82,8 @@ class Network:
         g = g[:, None].astype(np.float32)
         d_hidden = (g @ self.p["out"].T) * (hidden > 0)
         d_f = d_hidden @ self.p["dense"].T
-        top = h == f[of, FILTERS:]
+        top = (h == f[of, FILTERS:]).astype(h.dtype)
+        top /= np.add.reduceat(top, np.searchsorted(of, np.arange(len(g))))[of]  # chunks overlap, so ties occur
         d_h = (d_f[:, :FILTERS] / count)[of] + d_f[of, FILTERS:] * top
         d_h *= h > 0
         window = bytes_[np.arange(len(h))[:, None, None], where[:, :, None] + np.arange(WIDTH)]  # chunk, filter, byte

@@ -128,11 +128,9 @@ def large_group(values: np.ndarray, radius: int) -> np.ndarray:
     while waiting or target.any():
         if waiting:
             take, waiting = np.array(waiting[:WALK]), waiting[WALK:]
-        else:
-            take = np.flatnonzero(target)[:WALK]
+        else:  # all that are linked to one value are found before the next begins
+            take = target.argmax(keepdims=True)
             target[take] = False
-            a, b = np.nonzero(np.triu(np.bitwise_count(values[take][:, None] ^ values[take]) <= radius, 1))
-            union.join(np.stack([take[a], take[b]], 1))
         left = int(target.sum())
         if not left:
             continue

@@ -28,7 +28,7 @@ from .sampling import first_by_hash, learnable, with_texts
 POSITIVES, UNLABELLED = 4_000, 12_000
 #: Hash buckets of words, those of them that the classifiers use, and rows that must have one.
 BUCKETS, USED, LEAST_ROWS = 1 << 18, 1_024, 4
-CLASSIFIERS, STEPS, RATE, DECAY = 3, 200, 0.1, 3e-5
+CLASSIFIERS, STEPS, RATE, DECAY = 3, 200, 0.1, 1e-4
 THRESHOLD = 0.7
 #: Longer words also count by their first letters, which inflected forms share.
 STEM = 5
@@ -59,7 +59,7 @@ def fit_one(rows: np.ndarray, cols: np.ndarray, positive: np.ndarray, prior: flo
         risk = loss[~positive].mean() - prior * loss[positive].mean()
         # Gradients by the logit: p - 1 for a positive as positive, p for any row as negative.
         negative = np.where(positive, -prior * p / n_p, p / n_u)
-        g = np.where(positive, prior * (p - 1) / n_p, 0) + negative if risk >= 0 else -negative
+        g = np.where(positive, prior * (p - 1) / n_p, 0) + (negative if risk >= 0 else -negative)
         grad = np.r_[np.bincount(cols, g[rows], width), g.sum()] + DECAY * np.r_[w[:-1], 0]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad * grad
         w -= RATE * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
