@@ -18,7 +18,7 @@ def run_sql(sql: str, sf_dir: str) -> pd.DataFrame:
 
 
 def _plain(v) -> str:
-    if v is None or v is pd.NaT or isinstance(v, (float, np.floating)) and np.isnan(v):
+    if v is None or v is pd.NaT or v is pd.NA or isinstance(v, (float, np.floating)) and np.isnan(v):
         return "null"
     return repr(float(v)) if isinstance(v, (int, float, np.integer, np.floating)) and not isinstance(v, bool) else str(v)
 
