@@ -135,7 +135,8 @@ def spectrum(df: DataFrame, axis: Axis, c: str) -> DataFrame:
         return out
 
     schema = f"{kinds + ', ' if kinds else ''}frequency double, period_steps double, period_hours double, power double"
-    return gapless(df, axis, c).drop(axis.ts).groupBy(*(axis.keys or [F.lit(0)])).applyInPandas(transform, schema)
+    rows = gapless(df, axis, c).drop(axis.ts).withColumn("__all", F.lit(0))
+    return rows.groupBy(*(axis.keys or ["__all"])).applyInPandas(transform, schema)
 
 
 def histogram(df: DataFrame, c: str, bins: int = 50, keys=()) -> DataFrame:
