@@ -88,7 +88,7 @@ class Forecaster:
         target = o["target"] or (self.spec and self.spec.target)
         if not target:
             raise ValueError("no target is named")
-        chosen = o["features"] or (self.spec.features if self.spec else numeric_columns(df, (*self.axis.keys, self.axis.ts, self.axis.order)))
+        chosen = o["features"] if o["features"] is not None else (self.spec.features if self.spec else numeric_columns(df, (*self.axis.keys, self.axis.ts, self.axis.order)))
         self.inputs = [c for c in chosen if c in df.columns and c != target]
         self.step = micros(o["freq"]) if o["freq"] else micros(self.spec.time.freq) if self.spec and self.spec.time.freq else frequency(df, self.axis)
         self.periods = dict(o["cyclic"] or {}) | ({c: p for c, p in self.spec.cyclic_columns.items() if c in self.inputs} if self.spec and o["use_spec_cyclic"] else {})

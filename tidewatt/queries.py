@@ -624,3 +624,34 @@ def _(spark, d):
 @query("head", "hourly", "SELECT s, ts, v FROM hourly ORDER BY s, ts LIMIT 10", "v")
 def _(spark, d):
     return hourly(spark, d).select("s", "ts", "v").orderBy("s", "ts").limit(10)
+
+
+# ---- forecasts
+def _lagged(spark, d):
+    from .plans.forecaster import Forecaster
+
+    split = splits.split_by_time(hourly(spark, d).select("s", "ts", "v"), AXIS, "5D")
+    return Forecaster("linear", AXIS, target="v", features=[], lags={"v": [24]}, freq="1h").fit(split.train), split
+
+
+@query("forecast_linear", "hourly", f"""{_NAIVE}, c AS (SELECT max(ts) - INTERVAL 5 DAY AS cut FROM hourly), f AS (SELECT regr_slope(v, p) AS k, regr_intercept(v, p) AS b FROM a, c WHERE ts <= cut)
+SELECT s, ts, v, k * p + b AS prediction FROM a, c, f WHERE ts > cut""", "v prediction")
+def _(spark, d):
+    forecaster, split = _lagged(spark, d)
+    return forecaster.predict(split.test, split.train).select("s", "ts", "v", "prediction")
+
+
+@query("forecast_recursive", "hourly", f"""{_NAIVE}, c AS (SELECT max(ts) - INTERVAL 5 DAY AS cut FROM hourly), f AS (SELECT regr_slope(v, p) AS k, regr_intercept(v, p) AS b FROM a, c WHERE ts <= cut)
+SELECT s, ts, k * p + b AS prediction FROM a, c, f WHERE ts > cut AND ts <= cut + INTERVAL 3 HOUR""", "prediction")
+def _(spark, d):
+    forecaster, split = _lagged(spark, d)
+    first = split.test.where(F.col("ts") <= F.lit(split.train.agg(F.max("ts")).first()[0]) + F.expr("INTERVAL 3 HOURS"))
+    return forecaster.predict_recursive(first, split.train).select("s", "ts", "prediction")
+
+
+@query("forecast_evaluate", "hourly", f"""{_NAIVE}, c AS (SELECT max(ts) - INTERVAL 5 DAY AS cut FROM hourly), f AS (SELECT regr_slope(v, p) AS k, regr_intercept(v, p) AS b FROM a, c WHERE ts <= cut)
+SELECT avg(abs(k * p + b - v)) / 100 AS nmae, sqrt(avg((k * p + b - v) * (k * p + b - v))) / 100 AS nrmse FROM a, c, f WHERE ts > cut""", "nmae nrmse")
+def _(spark, d):
+    forecaster, split = _lagged(spark, d)
+    found = forecaster.evaluate(split.test, split.train, ["nmae", "nrmse"], norm=100.0)
+    return spark.range(1).select(*(F.lit(v).alias(k) for k, v in found.items()))
