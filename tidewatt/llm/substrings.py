@@ -17,6 +17,7 @@ result. ``deduplicated`` keeps all other columns; the names it adds replace colu
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,8 +54,17 @@ def rolled(a: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
     return h
 
 
+def smallest(g: np.ndarray) -> np.ndarray:
+    """The smallest of each ``_GRAMS`` successive values."""
+    m, width = g, 1
+    while width < _GRAMS:
+        step = min(width, _GRAMS - width)
+        m, width = np.minimum(m[: len(m) - step], m[step:]), width + step
+    return m
+
+
 def prefixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, gram hashes, and for each window the position of its prefix."""
+    """Word hashes, gram hashes, and for each window the position of its prefix, the first of equals."""
     a = word_hashes(words)
     g = rolled(a, GRAM)
     if len(a) < WINDOW:
@@ -72,34 +82,46 @@ def _prefix_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found, ids, counts = [np.zeros(0, np.uint64)], [], []
-            for key, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True):
-                _, g, at = prefixes(_words(text))
-                if key is not None and len(at):
-                    found.append(np.unique(g[np.unique(at)]))
-                    ids.append(key)
-                    counts.append(len(found[-1]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(found).view(np.int64)), pa.array(np.repeat(np.array(ids, np.int64), np.array(counts, np.int64)))], names=["prefix", "doc_id"])
+            rows = [(k, w) for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if k is not None and len(w := _words(t)) >= WINDOW]
+            if not rows:
+                continue
+            size = np.array([len(w) for _, w in rows])
+            # All texts of the batch in one array; windows that run over a text's end are left out.
+            least = smallest(rolled(word_hashes(list(itertools.chain.from_iterable(w for _, w in rows))), GRAM))
+            doc = np.repeat(np.arange(len(rows)), size)[: len(least)]
+            inside = np.arange(len(least)) + WINDOW <= np.cumsum(size)[doc]
+            least, doc = least[inside], doc[inside]
+            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
+            least, doc = least[new], doc[new]
+            order = np.lexsort((least, doc))
+            least, doc = least[order], doc[order]
+            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
+            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(np.array([k for k, _ in rows], np.int64)[doc[new]])], names=["prefix", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "prefix long, doc_id long")
 
 
 def _suffixes(joined: DataFrame, candidates: str, whole: bool) -> DataFrame:
     """Suffixes of the candidate prefixes of each document: by prefix with the words around it, or, ``whole``,
-    by a hash of the whole window."""
+    by a hash of the whole window. Equal surroundings in a document are one row, whose ``more`` has the further
+    places."""
 
     def by_prefix(key: int, a: np.ndarray, g: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple:
         place, first, count = np.unique(at, return_index=True, return_counts=True)
         keep = np.isin(g[place], wanted)
         place, first, count = place[keep], first[keep], count[keep]
-        low = a.astype("<u4")  # the low half of each hash
-        return g[place].view(np.int64), np.full(len(place), key), place, place - first, count, [low[f : f + c + WINDOW - 1].tobytes() for f, c in zip(first.tolist(), count.tolist(), strict=True)]
+        low = a.astype("<u4")  # the low half of each hash; the prefix's own words are told by its hash
+        rows: dict[tuple, list[int]] = {}
+        for p, f, c, h in zip(place.tolist(), first.tolist(), count.tolist(), g[place].view(np.int64).tolist(), strict=True):
+            rows.setdefault((h, p - f, low[f:p].tobytes() + low[p + GRAM : f + c + WINDOW - 1].tobytes()), []).append(p)
+        more = [np.array(p[1:], np.int64).tobytes() if len(p) > 1 else None for p in rows.values()]
+        return [k[0] for k in rows], [key] * len(rows), [p[0] for p in rows.values()], more, [k[1] for k in rows], [len(k[2]) // 4 - (WINDOW - GRAM - 1) for k in rows], [k[2] for k in rows]
 
     def by_window(key: int, a: np.ndarray, g: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple:
         s = np.flatnonzero(np.isin(g[at], wanted))
         return rolled(a, WINDOW, 1)[s].view(np.int64), rolled(a, WINDOW, 2)[s].view(np.int64), np.full(len(s), key), s
 
-    make, names, kinds = (by_window, ["w1", "w2", "doc_id", "place"], [pa.int64()] * 4) if whole else (by_prefix, ["prefix", "doc_id", "place", "before", "windows", "words"], [pa.int64()] * 3 + [pa.int32()] * 2 + [pa.binary()])
+    make, names, kinds = (by_window, ["w1", "w2", "doc_id", "place"], [pa.int64()] * 4) if whole else (by_prefix, ["prefix", "doc_id", "place", "more", "before", "windows", "words"], [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 2 + [pa.binary()])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -141,20 +163,20 @@ def _trees(suffixes: DataFrame) -> DataFrame:
     def covered(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
         t = pa.Table.from_batches(parts)
         prefix, doc, place, before, n = (t[c].to_numpy() for c in ("prefix", "doc_id", "place", "before", "windows"))
-        sizes = (n + WINDOW - 1).astype(np.int64)
+        sizes = (n + WINDOW - GRAM - 1).astype(np.int64)
         flat = np.frombuffer(b"".join(t["words"].to_pylist()), "<u4")
         row = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         offset = before[row] - nth  # of the prefix in the window
         start = (np.cumsum(sizes) - sizes)[row] + nth
-        # Words of the window that the prefix doesn't tell: all but GRAM of them.
-        other = np.arange(WINDOW - GRAM)
-        other = other + np.where(other >= offset[:, None], GRAM, 0)
         group = np.unique(prefix, return_inverse=True)[1][row].astype(np.int64) * _GRAMS + offset
-        hit = repeats(group, flat[start[:, None] + other], doc[row])
+        hit = repeats(group, flat[start[:, None] + np.arange(WINDOW - GRAM)], doc[row])
         bits = np.bincount(row[hit], (1 << offset[hit]).astype(np.float64), len(n)).astype(np.int64)
-        some = bits > 0
-        return pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(place[some] << _GRAMS | bits[some])], names=["doc_id", "hit"])
+        some = np.flatnonzero(bits)
+        more = [(i, np.frombuffer(m, np.int64)) for i, m in zip(some.tolist(), t["more"].take(some).to_pylist(), strict=True) if m]
+        at = np.concatenate([some, *(np.full(len(m), i) for i, m in more)]).astype(np.int64)
+        places = np.concatenate([place[some], *(m for _, m in more)]).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(places << _GRAMS | bits[at])], names=["doc_id", "hit"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -205,7 +227,8 @@ def removed(n: int, hits: np.ndarray) -> np.ndarray:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by single spaces."""
     small_batches(docs.sparkSession)
-    marked = docs.drop("n_words", "n_removed", "kept", "hits").join(covered_windows(docs.drop("n_words", "n_removed", "kept", "hits")).hint("shuffle_hash"), "doc_id", "left")
+    docs = docs.drop("n_words", "n_removed", "kept", "hits", "cold_prefixes", "hot_prefixes")
+    marked = docs.join(covered_windows(docs).hint("shuffle_hash"), "doc_id", "left")
 
     def cut(b: pa.RecordBatch) -> list:
         n_words, n_removed, kept = [], [], []
@@ -226,10 +249,11 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words cut from their texts; texts that lose none stay as they are. ``n_chars``
     follows, where it is there."""
-    done = deduplicated(docs)
-    text = F.when(F.col("n_removed") > 0, F.col("kept")).otherwise(F.col("text"))
-    cols = [text.alias(c) if c == "text" else F.when(F.col("n_removed") > 0, F.length("kept").cast("long")).otherwise(F.col(c)).alias(c) if c == "n_chars" else F.col(c) for c in docs.columns]
-    return done.select(cols)
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_removed", "kept", "hits", "cold_prefixes", "hot_prefixes")}
+    done = deduplicated(docs.withColumnsRenamed(own))
+    cut = F.col("n_removed") > 0
+    new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
+    return done.select(*((new[c] if c in new else F.col(own.get(c, c))).alias(c) for c in docs.columns))
 
 
 def op6_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
