@@ -12,6 +12,7 @@ care; existing columns with an output's name are replaced, all others are kept.
 
 from __future__ import annotations
 
+import functools
 import re
 import struct
 import zlib
@@ -31,7 +32,7 @@ MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: Encoded runs that a Python worker remembers, and runs encoded at once.
-REMEMBERED, AT_ONCE = 1 << 18, 4_096
+REMEMBERED, AT_ONCE = 1 << 19, 1_024
 
 
 def fields(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -103,7 +104,7 @@ class Model:
 
 class Codec:
     def __init__(self, path: str):
-        from tokenizers import Regex, Tokenizer, decoders, models, normalizers
+        from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
         self.model = m = Model.load(path)
         unknown = m.pieces[m.unknown][0]
@@ -124,18 +125,42 @@ class Codec:
         inner = re.compile(f"[^{MARK}]{MARK}")
         self.by_runs = not any(inner.search(p) for p, _, kind in m.pieces if kind in (NORMAL, USER_DEFINED))
         self.run = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+") if self.by_runs else re.compile(r"(?s).+")
+        if self.by_runs:
+            self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(self.run.pattern), "isolated")
+        #: Without a character map and trimming the normaliser only marks spaces, which a string can do itself.
+        self.plain = m.escape_spaces and not m.charsmap and not m.trim_spaces
         self.known: dict[str, bytes] = {}
 
+    @classmethod
+    @functools.cache
+    def of(cls, path: str) -> "Codec":
+        """One codec for the worker's life, so that it keeps what it knows."""
+        return cls(path)
+
+    def normalize(self, text: str) -> str:
+        if self.plain:
+            return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
+        return self.normalizer.normalize_str(text) if text else ""
+
+    def _learn(self, new: list[str]) -> None:
+        """Runs that end with another character stay apart when joined, and are told apart by their offsets."""
+        apart = [r for r in new if r[-1] == MARK or r[0] != MARK] if self.by_runs else new
+        joined = [r for r in new if r[-1] != MARK and r[0] == MARK] if self.by_runs else []
+        parts = [joined[a : a + AT_ONCE] for a in range(0, len(joined), AT_ONCE)]
+        for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            raw, starts = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
+            ends = (4 * np.searchsorted(starts, np.cumsum([len(r) for r in part]))).tolist()
+            self.known.update((r, raw[a:z]) for r, a, z in zip(part, [0, *ends], ends, strict=False))
+        for a in range(0, len(apart), AT_ONCE):
+            part = apart[a : a + AT_ONCE]
+            self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+
     def encode(self, bodies: list[str]) -> list[np.ndarray]:
-        runs = [self.run.findall(self.normalizer.normalize_str(t)) if t else [] for t in bodies]
-        if len(self.known) > REMEMBERED:
+        runs = [self.run.findall(self.normalize(t)) for t in bodies]
+        if len(self.known) > REMEMBERED or not self.by_runs:
             self.known.clear()
-        new = [r for r in set().union(*runs) if r not in self.known]
-        known = self.known if self.by_runs else {}
-        for a in range(0, len(new), AT_ONCE):
-            part = new[a : a + AT_ONCE]
-            known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
-        return [np.frombuffer(b"".join(map(known.__getitem__, r)), "<u4") for r in runs]
+        self._learn([r for r in set().union(*runs) if r not in self.known])
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), "<u4") for r in runs]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
@@ -147,7 +172,7 @@ def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
 
     def run(b: pa.RecordBatch) -> list:
         if not held:
-            held.append(Codec(model_path))
+            held.append(Codec.of(model_path))
         return [pa.array([x.view(np.int32) for x in held[0].encode(texts(b, text))], pa.list_(pa.int32()))]
 
     return map_batches(df, run, [("ids", T.ArrayType(T.IntegerType()))])
@@ -159,7 +184,7 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
 
     def run(b: pa.RecordBatch) -> list:
         if not held:
-            held.append(Codec(model_path))
+            held.append(Codec.of(model_path))
         return [held[0].decode([np.array(x or [], np.int64) for x in b.column(ids).to_pylist()])]
 
     return map_batches(df, run, [("decoded", T.StringType())])
@@ -173,7 +198,7 @@ def check(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         if not held:
             import sentencepiece
 
-            held.extend([Codec(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)])
+            held.extend([Codec.of(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)])
         bodies = texts(b, text)
         ids = held[0].encode(bodies)
         theirs = held[1].encode(bodies, num_threads=1)
