@@ -379,6 +379,28 @@ def test_substrings_against_brute_force(spark, monkeypatch, group):
     assert sorted((str(a), b, c, d) for a, b, c, d in got) == brute_removed([tuple(r) for r in df.select("doc_id", "text").collect()])
 
 
+@given(st.lists(st.one_of(st.none(), st.text(alphabet="ab é\x0b\x1c\xa0\n", max_size=12)), max_size=8), st.integers(0, 3))
+@settings(max_examples=150, deadline=None)
+def test_word_hashes_tell_words_apart(texts, skip):
+    import pyarrow as pa
+
+    kept = texts[skip:]
+    hashes, at = substrings.word_hashes(pa.array(texts, pa.string())[skip:])
+    flat = [w for t in kept for w in words(t)]
+    assert np.diff(at).tolist() == [len(words(t)) for t in kept] and len(hashes) == len(flat)
+    assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
+
+
+def test_word_hashes_of_blocks(monkeypatch):
+    import pyarrow as pa
+
+    texts = pa.array([LONG, None, "q" * 5_000 + " " + LONG, ""])
+    whole = substrings.word_hashes(texts)
+    monkeypatch.setattr(substrings, "BLOCK", 100)
+    parts = substrings.word_hashes(texts)
+    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+
+
 def test_substrings_keep_columns(spark):
     df = docs(spark).withColumn("n_chars", F.length("text").cast("long"))
     out = substrings.without_repeats(df)

@@ -17,11 +17,12 @@ result. ``deduplicated`` keeps all other columns; the names it adds replace colu
 
 from __future__ import annotations
 
-import itertools
+import functools
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,16 +34,57 @@ WINDOW, GRAM = 13, 5
 _GRAMS = WINDOW - GRAM + 1  # of a window; its prefix starts at one of as many offsets
 #: Documents of a prefix above which it is lengthened, and windows of the trees that are built together.
 GROUP, TOGETHER = 8_192, 1 << 18
-REMEMBERED = 1 << 18
+#: Bytes of text that are hashed at once.
+BLOCK = 1 << 20
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_hashes: dict[bytes, int] = {}
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    _hashes.update((w, xxhash.xxh64_intdigest(w)) for w in set(words) if w not in _hashes)
-    return np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
+#: Prefixes are told by 48 bits: the windows below them are compared word by word anyway.
+_SPARE = np.uint64(16)
+_BASE = np.uint64(0xD6E8FEB86659FD93)
+_IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
+#: A random odd value for each byte, by rule.
+_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
+
+
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts in one array, and where each text's begin and end.
+
+    A word's hash is a polynomial of a random value for each byte, taken from running sums over the whole column's
+    bytes and mixed, so no word becomes an object of its own."""
+    bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    bounds = bounds - bounds[0]
+    inside = np.zeros(len(raw) + 2, bool)  # with a stop before and after
+    inside[1:-1] = _IN_WORD[raw]
+    cut = np.zeros(len(raw) + 1, bool)  # a text begins before this byte
+    cut[bounds] = True
+    starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
+    ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
+    h = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):  # so many words at once that their bytes take a block
+        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
+        lo, hi = starts[i], ends[j - 1]
+        power, back = _powers(hi - lo)
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_BYTES[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
+        h[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * back[starts[i:j] - lo]
+        i = j
+    h = (h + (ends - starts).astype(np.uint64)) * _MULTIPLIER
+    h = (h ^ h >> np.uint64(32)) * _MULTIPLIER
+    return h ^ h >> np.uint64(29), np.searchsorted(starts, bounds)
+
+
+@functools.lru_cache(1)
+def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
+    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(int(_BASE), -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.cumprod(up), np.cumprod(down)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2^64, for ``n`` bytes and one more."""
+    return _powers_of(1 << max(16, int(n).bit_length()))
 
 
 def rolled(a: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -63,14 +105,13 @@ def smallest(g: np.ndarray) -> np.ndarray:
     return m
 
 
-def prefixes(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, gram hashes, and for each window the position of its prefix, the first of equals."""
-    a = word_hashes(words)
-    g = rolled(a, GRAM)
+def prefixes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes of a text's word hashes, and for each window the position of its prefix, the first of equals."""
+    g = rolled(a, GRAM) >> _SPARE
     if len(a) < WINDOW:
-        return a, g, np.zeros(0, np.int64)
+        return g, np.zeros(0, np.int64)
     windows = np.lib.stride_tricks.sliding_window_view(g, _GRAMS)
-    return a, g, np.arange(len(windows)) + windows.argmin(1)
+    return g, np.arange(len(windows)) + windows.argmin(1)
 
 
 def _words(text: str | None) -> list[bytes]:
@@ -82,21 +123,21 @@ def _prefix_rows(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [(k, w) for k, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True) if k is not None and len(w := _words(t)) >= WINDOW]
-            if not rows:
-                continue
-            size = np.array([len(w) for _, w in rows])
-            # All texts of the batch in one array; windows that run over a text's end are left out.
-            least = smallest(rolled(word_hashes(list(itertools.chain.from_iterable(w for _, w in rows))), GRAM))
-            doc = np.repeat(np.arange(len(rows)), size)[: len(least)]
-            inside = np.arange(len(least)) + WINDOW <= np.cumsum(size)[doc]
+            b = b.filter(pc.is_valid(b.column("doc_id")))
+            hashes, at = word_hashes(b.column("text"))
+            # All texts of the batch are one array; windows that run over a text's end are left out.
+            least = smallest(rolled(hashes, GRAM) >> _SPARE)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(at))[: len(least)]
+            inside = np.arange(len(least)) + WINDOW <= at[doc + 1]
             least, doc = least[inside], doc[inside]
+            if not len(least):
+                continue
             new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
             least, doc = least[new], doc[new]
             order = np.lexsort((least, doc))
             least, doc = least[order], doc[order]
             new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), pa.array(np.array([k for k, _ in rows], np.int64)[doc[new]])], names=["prefix", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], names=["prefix", "doc_id"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "prefix long, doc_id long")
 
@@ -126,9 +167,11 @@ def _suffixes(joined: DataFrame, candidates: str, whole: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
-            for key, text, wanted in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), b.column(candidates), strict=True):
-                if wanted.is_valid and len(wanted.values):
-                    parts.append(make(key, *prefixes(_words(text)), wanted.values.to_numpy().view(np.uint64)))
+            b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column(candidates)), 0), 0))
+            hashes, at = word_hashes(b.column("text"))
+            for i, (key, w) in enumerate(zip(b.column("doc_id").to_pylist(), b.column(candidates), strict=True)):
+                a = hashes[at[i] : at[i + 1]]
+                parts.append(make(key, a, *prefixes(a), w.values.to_numpy().view(np.uint64)))
             if parts:
                 cols = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts, strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
