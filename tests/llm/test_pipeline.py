@@ -4,7 +4,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_operators import brute_components, brute_fingerprint, brute_removed
+from test_corpus_operators import brute_components, brute_fingerprint, brute_removed
 
 import corpus_pipeline
 from tidewatt.llm.common import table
