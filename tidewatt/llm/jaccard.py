@@ -1,0 +1,162 @@
+"""Near-duplicates by the Jaccard similarity of sets of five-word shingles.
+
+Candidates are documents that agree in all ``DEEP`` minima of one of ``BANDS`` bands of minimum hashes; a pair of
+similarity s is missed with probability (1 - s^5)^40, 1.3e-7 at 0.8 and less above. Candidates are compared exactly,
+by their whole sets of 64-bit shingle hashes, so no pair below the similarity is linked. Bands whose buckets hold the
+same documents are compared once; buckets that would outgrow a task are dealt as pairs of bounded parts.
+
+Documents of equal sets are one node. A text of fewer words than a shingle is one shingle; texts without words are
+equal. Only A-Z are lower-cased. Rows without an id stay and link nothing; repeated rows stay as they are. An empty
+table gives an empty result. Further columns stay.
+"""
+
+from __future__ import annotations
+
+import itertools
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .. import scratch
+from .common import map_batches, small_batches
+from .components import components
+from .substrings import rolled, word_hashes
+
+WORDS, BANDS, DEEP, SEED = 5, 40, 5, 42
+#: Linked are pairs with at least NUMER / DENOM of their union in common.
+NUMER, DENOM = 4, 5
+#: Sets of a bucket that are compared in one task; larger buckets are dealt as pairs of parts of this size.
+PART = 2_048
+_random = np.random.default_rng(SEED)
+_FACTOR = _random.integers(0, 1 << 64, BANDS * DEEP, np.uint64) | np.uint64(1)
+_ADDED = _random.integers(0, 1 << 64, BANDS * DEEP, np.uint64)
+
+
+def shingles(texts: pa.Array) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text; null counts as empty."""
+    hashes, at = word_hashes(pc.ascii_lower(pc.fill_null(texts, "")))
+    h = (hashes[a:z] for a, z in itertools.pairwise(at.tolist()))
+    return [np.unique(rolled(x, WORDS) if len(x) >= WORDS else rolled(x, len(x), len(x))) if len(x) else x for x in h]
+
+
+def band_keys(sets: list[np.ndarray]) -> list[np.ndarray]:
+    """One key for each band of each set; none of an empty set."""
+    full = [s for s in sets if len(s)]
+    least = np.empty((len(full), BANDS * DEEP), np.uint64)
+    for row, s in zip(least, full, strict=True):
+        row[:] = np.min([(s[a : a + 1_024, None] * _FACTOR + _ADDED).min(0) for a in range(0, len(s), 1_024)], axis=0)
+    bands = least.reshape(len(full), BANDS, DEEP).transpose(2, 0, 1)
+    keys = iter(rolled(np.concatenate([np.broadcast_to(np.arange(BANDS, dtype=np.uint64), bands.shape[1:])[None], bands]), DEEP + 1)[0])
+    return [next(keys) if len(s) else s for s in sets]
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    offsets = np.cumsum([0, *map(len, arrays)], dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([np.zeros(0, np.uint64), *arrays]).view(np.int64)))
+
+
+def _signed(b: pa.RecordBatch) -> list:
+    sets = shingles(b.column("text"))
+    names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+    return [names, _lists(sets), _lists(band_keys(sets))]
+
+
+def linked(sets: list[np.ndarray]) -> np.ndarray:
+    """Pairs of positions that connect all sets which are similar. A set that was found leaves the targets and
+    waits as a query, so a group of near copies costs little more than its size."""
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    size = np.array([len(s) for s in sets])
+    own = np.split(flat, np.cumsum(size)[:-1])
+    mark = np.zeros(flat.max() + 1, np.int32)
+    left, waiting, pairs = np.arange(len(sets)), [], []
+    while len(left):
+        if waiting:
+            q = waiting.pop()
+        else:
+            q, left = int(left[0]), left[1:]
+            if not len(left):
+                break
+            flat = np.concatenate([own[i] for i in left])
+            starts = np.r_[0, np.cumsum(size[left])[:-1]]
+        mark[own[q]] = 1
+        common = np.add.reduceat(mark[flat], starts)
+        mark[own[q]] = 0
+        hit = DENOM * common >= NUMER * (size[left] + size[q] - common)
+        if hit.any():
+            found, left = left[hit], left[~hit]
+            pairs += [(q, i) for i in found.tolist()]
+            waiting += found.tolist()
+            if len(left):
+                flat = np.concatenate([own[i] for i in left])
+                starts = np.r_[0, np.cumsum(size[left])[:-1]]
+    return np.array(pairs, np.int64).reshape(-1, 2)
+
+
+def _forests(members: DataFrame) -> DataFrame:
+    """Links ``a, b`` within the buckets that ``key, part, other, set, shingles`` lists in order."""
+
+    def units(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        last, held = None, {}
+        for b in batches:
+            names = zip(*(b.column(c).to_pylist() for c in ("key", "part", "other", "set")), strict=True)
+            for i, (*name, node) in enumerate(names):
+                if name != last:
+                    yield held
+                    last, held = name, {}
+                held[node] = b.column("shingles")[i].values.to_numpy().view(np.uint64)
+        yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in units(batches):
+            if len(held) > 1:
+                pairs, nodes = linked(list(held.values())), np.array(list(held), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(nodes[pairs[:, 0]]), pa.array(nodes[pairs[:, 1]])], names=["a", "b"])
+
+    return members.mapInArrow(run, "a long, b long")
+
+
+def near_links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the sets of ``marked(doc_id, set, shingles, keys)``, enough to connect all candidates that are
+    similar, as a written table."""
+    keyed = marked.select("set", F.explode("keys").alias("key")).repartition("key").groupBy("key", "set").agg(F.lit(1).alias("one")).drop("one")
+    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("same")).where("n > 1")
+    buckets = scratch.written(shared.groupBy("n", "same").agg(F.min("key").alias("key")), "jaccard-buckets")
+    members = scratch.written(keyed.join(buckets.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "key"), "jaccard-members")
+    first = members.select("set").distinct().join(nodes, "set").withColumnRenamed("first", "doc_id")
+    bodies = scratch.written(marked.select("doc_id", "set", "shingles").join(first, ["set", "doc_id"]).groupBy("set").agg(F.first("shingles").alias("shingles")), "jaccard-bodies")
+    mine, last = F.pmod(F.xxhash64("set"), "parts").cast("int"), F.col("parts") - 1
+    dealt = members.select("key", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
+    dealt = dealt.select("key", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "set").join(bodies, "set")
+    order = ["key", "part", "other"]
+    links = scratch.written(_forests(dealt.select(*order, "set", "shingles").repartition(*order).sortWithinPartitions(*order)), "jaccard-links")
+    for done in (buckets, members, bodies):
+        scratch.discard(done)
+    return links
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """``doc_id, component_id``: the smallest id that can be reached over links, for each row with an id."""
+    small_batches(docs.sparkSession)
+    rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
+    fields = [("set", T.LongType()), ("shingles", T.ArrayType(T.LongType())), ("keys", T.ArrayType(T.LongType()))]
+    marked = scratch.written(map_batches(rows, _signed, fields, keep=["doc_id"]), "jaccard")
+    nodes = scratch.written(marked.groupBy("set").agg(F.min("doc_id").alias("first")), "jaccard-nodes")
+    labels = components(near_links(marked, nodes)).withColumnRenamed("node", "set")
+    with_label = nodes.join(labels, "set", "left").select("set", "first", F.coalesce("label", "set").alias("label"))
+    names = with_label.groupBy("label").agg(F.min("first").alias("component_id"))
+    named = with_label.join(names, "label").select("set", "component_id")
+    found = scratch.written(marked.select("doc_id", "set").join(named, "set").select("doc_id", "component_id"), "jaccard-found")
+    scratch.discard(marked)  # the shingles take as much room as the texts
+    return found
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """Of each component of similar documents only the row with the smallest id; rows without an id stay."""
+    drop = near_duplicates(docs).where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    return docs.join(drop, "doc_id", "left_anti").select(docs.columns)
