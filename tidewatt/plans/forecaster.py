@@ -6,8 +6,10 @@ import copy
 import json
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import scratch
 from ..axis import Axis, micros
@@ -203,20 +205,53 @@ class Forecaster:
 
     def predict_recursive(self, data: DataFrame, history: DataFrame, weights: str = "best") -> DataFrame:
         """Forecast one time after another, feeding forecasts back as the target of later lags: parallel over series,
-        sequential in time. Without features of the target it is ``predict``. Each step is a small written table."""
+        sequential in time. Without features of the target it is ``predict``. A linear model whose only features of the
+        target are lags, unscaled, walks through each series in one task; else each step is a small written table."""
         if history is None:
             raise ValueError("a recursive forecast needs history")
         if not self._feeds_back:
             return self.predict(data, history, weights)
+        o = self.options
+        if hasattr(self.model, "scorer") and self.target_ not in (o["rolling"] or {}) and o["feature_scaling"] is None and o["target_transform"] is None and not o["lookback"]:
+            return self._walked(data, history)
         ax, blank = self.axis, data.withColumn(self.target_, F.lit(None).cast("double"))
         times = [r[0] for r in data.select(ax.ts).distinct().orderBy(ax.ts).collect()]  # the horizon, not the rows
         done = None
         for t in times:
-            past = history if done is None else history.unionByName(done.withColumnRenamed("prediction", self.target_), allowMissingColumns=True)
+            past = history
+            if done is not None:  # with the other columns of the steps before, which may be lagged too
+                past = history.unionByName(data.drop(self.target_, "prediction").join(done.withColumnRenamed("prediction", self.target_), [*ax.keys, ax.ts]), allowMissingColumns=True)
             one = self.predict(blank.where(F.col(ax.ts) == F.lit(t)), past, weights).select(*ax.keys, ax.ts, "prediction")
             done = scratch.written(one if done is None else done.unionByName(one), "recursive")
         return data.drop("prediction").join(done, [*ax.keys, ax.ts], "left")
 
+    def _walked(self, data: DataFrame, history: DataFrame) -> DataFrame:
+        """``predict_recursive`` by one loop over the times of each series. A series is the unit of a task."""
+        ax, target, names, step, score = self.axis, self.target_, self.feature_names, self.step, self.model.scorer()
+        lags = {f"{target}_lag_{k}": k for k in self.options["lags"][target]}
+        rows, _ = self._engineered(data.withColumn(target, F.lit(None).cast("double")), history)
+        rows = rows.select(*ax.keys, ax.ts, ax.micros().cast("long").alias("__t"), "__own", number(target).alias("__v"), *(number(n).cast("double").alias(f"__f{i}") for i, n in enumerate(names)))
+
+        def walk(pdf):
+            pdf = pdf.sort_values("__t", kind="stable")
+            known: dict[int, float] = {}
+            x = pdf[[f"__f{i}" for i in range(len(names))]].to_numpy(float)
+            moved = [(i, lags[n] * step) for i, n in enumerate(names) if n in lags]
+            out = np.full(len(pdf), np.nan)
+            for r, (t, own, v) in enumerate(zip(pdf["__t"].tolist(), pdf["__own"].tolist(), pdf["__v"].tolist(), strict=True)):
+                if own:
+                    for i, back in moved:
+                        x[r, i] = known.get(t - back, np.nan)
+                    v = out[r] = score(x[r]) if not np.isnan(x[r]).any() else np.nan
+                known.setdefault(t, v)
+            found = pdf[[*ax.keys, ax.ts]].assign(prediction=out)[pdf["__own"].to_numpy()]
+            return found.drop_duplicates([*ax.keys, ax.ts])
+
+        schema = T.StructType([*(data.schema[c] for c in (*ax.keys, ax.ts)), T.StructField("prediction", T.DoubleType())])
+        found = rows.withColumn("__all", F.lit(0)).groupBy(*(ax.keys or ("__all",))).applyInPandas(walk, schema)
+        found = found.withColumn("prediction", F.nanvl("prediction", F.lit(None).cast("double")))
+        return data.drop("prediction").join(found, [*ax.keys, ax.ts], "left")
+
     def evaluate(self, data: DataFrame, history=None, metrics_=("nmae", "nrmse", "r2"), norm: float | None = None, weights: str = "best", percent: bool = False) -> dict:
         """Metrics over all rows; errors are divided by ``norm``, the capacity, or the largest absolute target."""
         norm = norm or (self.spec and self.spec.capacity) or data.agg(F.max(F.abs(number(self.target_)))).first()[0]

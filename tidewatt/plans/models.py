@@ -86,6 +86,11 @@ class Linear(Model):
             reg = alpha * spread / n  # Spark divides the label by its deviation
         return LinearRegression(regParam=reg, elasticNetParam=0.0, standardization=False, solver="normal")
 
+    def scorer(self):
+        """Predictions of rows of features in numpy."""
+        w, b = self.fitted.coefficients.toArray(), self.fitted.intercept
+        return lambda x: x @ w + b
+
     def importance(self):
         return [abs(float(x)) for x in self.fitted.coefficients]
 

@@ -649,6 +649,16 @@ def _(spark, d):
     return forecaster.predict_recursive(first, split.train).select("s", "ts", "prediction")
 
 
+@query("forecast_recursive_whole")
+def _(spark, d):
+    """The counts of events, for ``v`` has gaps that would end every forecast, through the whole test part. Lag 1 feeds back."""
+    from .plans.forecaster import Forecaster
+
+    split = splits.split_by_time(hourly(spark, d).select("s", "ts", "n"), AXIS, "5D")
+    forecaster = Forecaster("linear", AXIS, target="n", features=[], lags={"n": [1, 24]}, freq="1h").fit(split.train)
+    return forecaster.predict_recursive(split.test, split.train).select("s", "ts", "n", "prediction")
+
+
 @query("forecast_evaluate", "hourly", f"""{_NAIVE}, c AS (SELECT max(ts) - INTERVAL 5 DAY AS cut FROM hourly), f AS (SELECT regr_slope(v, p) AS k, regr_intercept(v, p) AS b FROM a, c WHERE ts <= cut)
 SELECT avg(abs(k * p + b - v)) / 100 AS nmae, sqrt(avg((k * p + b - v) * (k * p + b - v))) / 100 AS nrmse FROM a, c, f WHERE ts > cut""", "nmae nrmse")
 def _(spark, d):
