@@ -101,7 +101,7 @@ def smallest(g: np.ndarray) -> np.ndarray:
     m, width = g, 1
     while width < _GRAMS:
         step = min(width, _GRAMS - width)
-        m, width = np.minimum(m[: len(m) - step], m[step:]), width + step
+        m, width = np.minimum(m[: max(0, len(m) - step)], m[step:]), width + step
     return m
 
 
