@@ -368,7 +368,7 @@ def brute_removed(rows):
     return sorted(out)
 
 
-@pytest.mark.parametrize("group", [8_192, 1])
+@pytest.mark.parametrize("group", [8_192, 25, 1])
 def test_substrings_against_brute_force(spark, monkeypatch, group):
     monkeypatch.setattr(substrings, "GROUP", group)
     rng = np.random.default_rng(9)
@@ -391,14 +391,35 @@ def test_word_hashes_tell_words_apart(texts, skip):
     assert len(set(zip(flat, hashes.tolist(), strict=True))) == len(set(flat)) == len(set(hashes.tolist()))
 
 
-def test_word_hashes_of_blocks(monkeypatch):
-    import pyarrow as pa
+@pytest.mark.parametrize("order", [5, 10, 11])
+def test_substrings_tell_hostile_words_apart(spark, order):
+    """A Thue-Morse word and its complement hash alike under polynomials modulo a power of two."""
+    bits = "".join(str(i.bit_count() & 1) for i in range(1 << order))
+    a, z = bits.translate(str.maketrans("01", "ab")), bits.translate(str.maketrans("01", "ba"))
+    same = " ".join(f"s{i}" for i in range(12))
+    rows = [(1, f"{same} {a}"), (2, f"{same} {z}"), (3, f"{same} {a} x"), (4, f"{z} {same} {z}"), (5, f"{same}\n{z}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.deduplicated(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted((str(a), b, c, d) for a, b, c, d in got) == brute_removed(rows)
+
 
-    texts = pa.array([LONG, None, "q" * 5_000 + " " + LONG, ""])
-    whole = substrings.word_hashes(texts)
-    monkeypatch.setattr(substrings, "BLOCK", 100)
-    parts = substrings.word_hashes(texts)
-    assert (whole[0] == parts[0]).all() and (whole[1] == parts[1]).all()
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 4), st.lists(st.integers(0, 1), min_size=13, max_size=13)), max_size=60), st.booleans())
+@settings(max_examples=150, deadline=None)
+def test_substrings_trees(suffixes, wide):
+    """Deep internal nodes of suffixes in few letters, with codes so large that a key holds one word and so small that it holds two."""
+    group, doc = (np.array([s[k] for s in suffixes], np.int64) for k in (0, 1))
+    codes = np.array([c for s in suffixes for c in s[2]], np.int64) * ((1 << 31) - 1 if wide else 1)
+    got = substrings.repeats(group, codes, np.arange(len(suffixes)) * 13, doc)
+    assert got.tolist() == [any(g == h and w == x and e < d for h, e, x in suffixes) for g, d, w in suffixes]
+
+
+def test_substrings_of_rows_that_share_an_id(spark):
+    """They are one document, but each loses its own words."""
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(1, f"a b c {shared} d"), (7, f"x {shared}"), (7, f"{shared} y z"), (7, f"x {shared}"), (7, "q " * 30), (7, "q " * 14), (9, "q " * 14), (9, f"a b c {shared} d"), (9, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = substrings.deduplicated(df).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert sorted((str(a), b, c, d) for a, b, c, d in got) == brute_removed(rows)
 
 
 def test_substrings_keep_columns(spark):

@@ -1,24 +1,28 @@
 """Substring deduplication with prefix-partitioned suffix trees over words.
 
-A suffix matters by its first ``WINDOW`` words. Suffixes are partitioned by a prefix that they all have in
-common with their equals: the ``GRAM`` words of smallest hash among the window's. Prefixes that only one
-document has are dropped, for nothing below them can repeat; of the others, the suffixes are brought together
-and each partition's tree is built from the top: a node is split by the next word, nodes with one suffix are
-cut off, and what remains at depth ``WINDOW`` are the deep internal nodes, whose suffixes are repeats. In each
-of them all but the smallest document's windows are covered.
-
-Prefixes that more than ``GROUP`` documents share are lengthened to the whole window. A partition then is one
-deep node, whose smallest document is found by a pre-aggregated minimum, so no task holds it.
-
-Words are runs of anything but ASCII white space. A null text has no words. Rows without an id neither remove
-nor lose words, and rows that repeat an id are one document to each other. An empty table gives an empty
-result. ``deduplicated`` keeps all other columns; the names it adds replace columns of the same name.
+A suffix matters by its first ``WINDOW`` words, its window. Suffixes are partitioned by prefixes of variable length.
+The first are single grams of ``GRAM`` words: of the suffixes that share a window only those count that begin at its
+smallest gram, with the words to the left that the window has before it, so that a prefix stands for a few windows.
+Prefixes that only one document has are dropped, for nothing below them can repeat. Prefixes that more than ``GROUP``
+documents share are lengthened: their windows are suffixes of their own, partitioned by their first ``LONGER`` words.
+Where that prefix is still too common it is lengthened to the whole window: the partition is a single deep node, whose
+smallest document is a minimum that is aggregated before it is shuffled. So no task holds more than a bounded group.
+
+A partition's tree is built from the top: nodes are split by the next words, nodes with one suffix are cut off, and what
+remains at depth ``WINDOW`` are the deep internal nodes. All but the smallest document's suffixes in them are repeats;
+successive ones make up a maximal repeat, whose words are removed. Hashes only deal suffixes to tasks: within a
+partition the words themselves are compared, so no two different words are ever taken for equal.
+
+Words are runs of anything but ASCII white space. A null text has no words. Rows without an id neither remove nor lose
+words, and rows that repeat an id are one document to each other. Of rows with equal texts only the smallest id's are
+searched; the others are repeats as a whole. An empty table gives an empty result. ``deduplicated`` keeps all other
+columns; the names it adds replace columns of the same name.
 """
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -28,63 +32,59 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
 from .common import map_batches, small_batches, table
 
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM, LONGER = 13, 5, 9
 _GRAMS = WINDOW - GRAM + 1  # of a window; its prefix starts at one of as many offsets
 #: Documents of a prefix above which it is lengthened, and windows of the trees that are built together.
-GROUP, TOGETHER = 8_192, 1 << 18
-#: Bytes of text that are hashed at once.
-BLOCK = 1 << 20
+GROUP, TOGETHER = 1_024, 1 << 18
+SEED = 0x5DEECE66D
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-#: Prefixes are told by 48 bits: the windows below them are compared word by word anyway.
+#: Bits of a gram's hash that don't go into the shuffle. Prefixes that agree by chance share a task, no more.
 _SPARE = np.uint64(16)
-_BASE = np.uint64(0xD6E8FEB86659FD93)
 _IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
-#: A random odd value for each byte, by rule.
-_BYTES = np.array([xxhash.xxh64_intdigest(bytes([b]), 7) | 1 for b in range(256)], np.uint64)
 
 
-def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts in one array, and where each text's begin and end.
+@dataclass
+class Words:
+    """The words of a column of texts: codes of the distinct ones, and the bytes where each begins and ends."""
+
+    raw: bytes
+    codes: np.ndarray
+    distinct: pa.Array
+    starts: np.ndarray
+    ends: np.ndarray
+    at: np.ndarray  # word where each text begins, and the number of all
+
+    def hashes(self) -> np.ndarray:
+        known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
+        return known[self.codes] if len(known) else np.zeros(0, np.uint64)
+
 
-    A word's hash is a polynomial of a random value for each byte, taken from running sums over the whole column's
-    bytes and mixed, so no word becomes an object of its own."""
+def words_of(texts: pa.Array) -> Words:
+    """Words are told apart as the very bytes they are; no word becomes an object unless it is new to the column."""
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
-    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    raw = data[bounds[0] : bounds[-1]].to_pybytes() if data is not None else b""
     bounds = bounds - bounds[0]
     inside = np.zeros(len(raw) + 2, bool)  # with a stop before and after
-    inside[1:-1] = _IN_WORD[raw]
+    inside[1:-1] = _IN_WORD[np.frombuffer(raw, np.uint8)]
     cut = np.zeros(len(raw) + 1, bool)  # a text begins before this byte
     cut[bounds] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-    h = np.empty(len(starts), np.uint64)
-    i = 0
-    while i < len(starts):  # so many words at once that their bytes take a block
-        j = max(i + 1, int(np.searchsorted(ends, starts[i] + BLOCK, "right")))
-        lo, hi = starts[i], ends[j - 1]
-        power, back = _powers(hi - lo)
-        sums = np.zeros(hi - lo + 1, np.uint64)
-        np.cumsum(_BYTES[raw[lo:hi]] * power[: hi - lo], out=sums[1:])
-        h[i:j] = (sums[ends[i:j] - lo] - sums[starts[i:j] - lo]) * back[starts[i:j] - lo]
-        i = j
-    h = (h + (ends - starts).astype(np.uint64)) * _MULTIPLIER
-    h = (h ^ h >> np.uint64(32)) * _MULTIPLIER
-    return h ^ h >> np.uint64(29), np.searchsorted(starts, bounds)
+    # One array of words and what lies between them, over the bytes as they are; every second is a word.
+    edges = np.empty(2 * len(starts), np.int32)
+    edges[::2], edges[1::2] = starts, ends
+    both = pa.Array.from_buffers(pa.binary(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
+    return Words(raw, both.indices.to_numpy()[::2], both.dictionary, starts, ends, np.searchsorted(starts, bounds))
 
 
-@functools.lru_cache(1)
-def _powers_of(size: int) -> tuple[np.ndarray, np.ndarray]:
-    up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(int(_BASE), -1, 1 << 64), np.uint64)
-    up[0] = down[0] = 1
-    return np.cumprod(up), np.cumprod(down)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2^64, for ``n`` bytes and one more."""
-    return _powers_of(1 << max(16, int(n).bit_length()))
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """XXH64 of the words of all texts in one array, and where each text's begin and end."""
+    w = words_of(texts)
+    return w.hashes(), w.at
 
 
 def rolled(a: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
@@ -105,8 +105,8 @@ def smallest(g: np.ndarray) -> np.ndarray:
     return m
 
 
-def prefixes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Gram hashes of a text's word hashes, and for each window the position of its prefix, the first of equals."""
+def anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Gram hashes of a text's word hashes, and for each window the place of its smallest gram, the first of equals."""
     g = rolled(a, GRAM) >> _SPARE
     if len(a) < WINDOW:
         return g, np.zeros(0, np.int64)
@@ -114,112 +114,131 @@ def prefixes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return g, np.arange(len(windows)) + windows.argmin(1)
 
 
-def _words(text: str | None) -> list[bytes]:
-    return (text or "").encode().split()
+def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(key)]
+    key, doc = key[new], doc[new]
+    order = np.lexsort((key, doc))
+    key, doc = key[order], doc[order]
+    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(key)]
+    return key[new], doc[new]
 
 
-def _prefix_rows(docs: DataFrame) -> DataFrame:
-    """``prefix, doc_id`` for the distinct prefixes of each document."""
+def _prefix_rows(docs: DataFrame, hot: str | None = None) -> DataFrame:
+    """``prefix, doc_id`` for the distinct prefixes of each document: smallest grams, or, where ``hot`` is given, the
+    first ``LONGER`` words of the windows whose smallest gram is among that column's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = b.filter(pc.is_valid(b.column("doc_id")))
             hashes, at = word_hashes(b.column("text"))
             # All texts of the batch are one array; windows that run over a text's end are left out.
-            least = smallest(rolled(hashes, GRAM) >> _SPARE)
-            doc = np.repeat(np.arange(b.num_rows), np.diff(at))[: len(least)]
-            inside = np.arange(len(least)) + WINDOW <= at[doc + 1]
-            least, doc = least[inside], doc[inside]
-            if not len(least):
-                continue
-            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
-            least, doc = least[new], doc[new]
-            order = np.lexsort((least, doc))
-            least, doc = least[order], doc[order]
-            new = np.r_[True, (np.diff(doc) != 0) | (np.diff(least) != 0)]
-            yield pa.RecordBatch.from_arrays([pa.array(least[new].view(np.int64)), b.column("doc_id").take(pa.array(doc[new]))], names=["prefix", "doc_id"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "prefix long, doc_id long")
-
-
-def _suffixes(joined: DataFrame, candidates: str, whole: bool) -> DataFrame:
-    """Suffixes of the candidate prefixes of each document: by prefix with the words around it, or, ``whole``,
-    by a hash of the whole window. Equal surroundings in a document are one row, whose ``more`` has the further
-    places."""
-
-    def by_prefix(key: int, a: np.ndarray, g: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple:
-        place, first, count = np.unique(at, return_index=True, return_counts=True)
-        keep = np.isin(g[place], wanted)
-        place, first, count = place[keep], first[keep], count[keep]
-        low = a.astype("<u4")  # the low half of each hash; the prefix's own words are told by its hash
-        rows: dict[tuple, list[int]] = {}
-        for p, f, c, h in zip(place.tolist(), first.tolist(), count.tolist(), g[place].view(np.int64).tolist(), strict=True):
-            rows.setdefault((h, p - f, low[f:p].tobytes() + low[p + GRAM : f + c + WINDOW - 1].tobytes()), []).append(p)
-        more = [np.array(p[1:], np.int64).tobytes() if len(p) > 1 else None for p in rows.values()]
-        return [k[0] for k in rows], [key] * len(rows), [p[0] for p in rows.values()], more, [k[1] for k in rows], [len(k[2]) // 4 - (WINDOW - GRAM - 1) for k in rows], [k[2] for k in rows]
-
-    def by_window(key: int, a: np.ndarray, g: np.ndarray, at: np.ndarray, wanted: np.ndarray) -> tuple:
-        s = np.flatnonzero(np.isin(g[at], wanted))
-        return rolled(a, WINDOW, 1)[s].view(np.int64), rolled(a, WINDOW, 2)[s].view(np.int64), np.full(len(s), key), s
-
-    make, names, kinds = (by_window, ["w1", "w2", "doc_id", "place"], [pa.int64()] * 4) if whole else (by_prefix, ["prefix", "doc_id", "place", "more", "before", "windows", "words"], [pa.int64()] * 3 + [pa.binary()] + [pa.int32()] * 2 + [pa.binary()])
+            key = smallest(rolled(hashes, GRAM) >> _SPARE)
+            doc = np.repeat(np.arange(b.num_rows), np.diff(at))[: len(key)]
+            inside = np.arange(len(key)) + WINDOW <= at[doc + 1]
+            if hot:
+                for i, w in enumerate(b.column(hot)):
+                    mine = slice(at[i], min(at[i + 1], len(key)))
+                    inside[mine] &= np.isin(key[mine], w.values.to_numpy().view(np.uint64))
+                key = rolled(hashes, LONGER, LONGER)[: len(key)]
+            key, doc = _distinct(key[inside], doc[inside])
+            if len(key):
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), b.column("doc_id").take(pa.array(doc))], names=["prefix", "doc_id"])
+
+    if hot:
+        docs = docs.where(F.size(hot) > 0)
+    return docs.select("doc_id", "text", *[hot] * bool(hot)).mapInArrow(run, "prefix long, doc_id long")
+
+
+def _shared(rows: DataFrame, cold: str, hot: str) -> DataFrame:
+    """The prefixes of each document that another has as well: those that make a bounded group, and the others."""
+    n = rows.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
+    mine = rows.join(n.select("prefix", (F.col("n") > GROUP).alias("hot")), "prefix").groupBy("doc_id")
+    return mine.agg(F.collect_list(F.when(~F.col("hot"), F.col("prefix"))).alias(cold), F.collect_list(F.when(F.col("hot"), F.col("prefix"))).alias(hot))
+
+
+SUFFIX = "prefix long, doc_id long, shape int, places binary, words binary"
+
+
+def _suffixes(joined: DataFrame, wanted: str, size: int, within: str | None = None) -> DataFrame:
+    """The suffixes below the ``wanted`` prefixes of ``size`` words, with the words of their windows.
+
+    A row of a gram has all windows around it: ``shape`` is the number of words before the gram times 16 plus the
+    number of windows. A row of a longer prefix, of windows whose gram is in ``within``, is one window. Equal words in a
+    document are one row; ``places`` has the row's mark and the words where they begin."""
+
+    def rows_of(w: Words, i: int, a: np.ndarray, keys: np.ndarray, inside: np.ndarray | None) -> Iterator[tuple]:
+        g, at = anchors(a)
+        if inside is None:
+            place, first, count = np.unique(at, return_index=True, return_counts=True)
+            key = g[place]
+        else:
+            first = np.flatnonzero(np.isin(g[at], inside))
+            place, count, key = first, np.ones(len(first), np.int64), rolled(a, size, size)[first]
+        keep = np.isin(key, keys)
+        place, first, count, key = place[keep], first[keep], count[keep], key[keep].view(np.int64)
+        begin, end = w.starts[w.at[i] + first], w.ends[w.at[i] + first + count + (WINDOW - 2)]
+        return zip(key.tolist(), ((place - first) * 16 + count).tolist(), first.tolist(), begin.tolist(), end.tolist(), strict=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            parts = []
-            b = b.filter(pc.greater(pc.fill_null(pc.list_value_length(b.column(candidates)), 0), 0))
-            hashes, at = word_hashes(b.column("text"))
-            for i, (key, w) in enumerate(zip(b.column("doc_id").to_pylist(), b.column(candidates), strict=True)):
-                a = hashes[at[i] : at[i + 1]]
-                parts.append(make(key, a, *prefixes(a), w.values.to_numpy().view(np.uint64)))
-            if parts:
-                cols = [sum(c, []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*parts, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
-
-    spark_kinds = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary"}
-    return joined.mapInArrow(run, ", ".join(f"{n} {spark_kinds[k]}" for n, k in zip(names, kinds, strict=True)))
-
-
-def repeats(group: np.ndarray, words: np.ndarray, doc: np.ndarray) -> np.ndarray:
-    """Which suffixes lie in a deep node with a smaller document. ``words`` has a row for each suffix; suffixes
-    of different groups never meet."""
+            w = words_of(b.column("text"))
+            hashes, out = w.hashes(), []
+            more = b.column(within) if within else [None] * b.num_rows
+            for i, (doc, mark, keys, inside) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column(wanted), more, strict=True)):
+                found: dict[tuple, list[int]] = {}
+                inside = inside if inside is None else inside.values.to_numpy().view(np.uint64)
+                for key, shape, first, begin, end in rows_of(w, i, hashes[w.at[i] : w.at[i + 1]], keys.values.to_numpy().view(np.uint64), inside):
+                    body = w.raw[begin:end] if inside is None else b" ".join(w.raw[begin:end].split())
+                    found.setdefault((key, shape, body), [mark]).append(first)
+                out += [(key, doc, shape, np.array(p, np.int64).tobytes(), body) for (key, shape, body), p in found.items()]
+            if out:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=["prefix", "doc_id", "shape", "places", "words"])
+
+    return joined.where(F.size(wanted) > 0).select("doc_id", "mark", "text", wanted, *[within] * bool(within)).mapInArrow(run, SUFFIX)
+
+
+def repeats(group: np.ndarray, codes: np.ndarray, start: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Which suffixes lie in a deep internal node with a smaller document. Suffixes begin at ``start`` of ``codes``;
+    those of different groups never meet. Nodes are split by two words at a time where a 64-bit key holds them."""
     out = np.zeros(len(group), bool)
     active = np.arange(len(group))
     _, node = np.unique(group, return_inverse=True)
-    for depth in range(words.shape[1] + 1):
-        if depth:
-            key = node.astype(np.uint64) << np.uint64(32) | words[active, depth - 1]
-            _, node = np.unique(key, return_inverse=True)
+    bits = int(codes.max(initial=1)).bit_length()
+    two = 2 * bits + len(group).bit_length() < 64
+    depth = 0
+    while depth < WINDOW and len(active):
+        key = node.astype(np.int64)
+        for _ in range(2 if two and depth else 1):  # a window has an odd number of words
+            key = key << bits | codes[start[active] + depth]
+            depth += 1
+        _, node = np.unique(key, return_inverse=True)
         inner = np.bincount(node)[node] > 1
         active, node = active[inner], node[inner]
-        if not len(active):
-            return out
-    least = np.full(node.max() + 1, np.iinfo(np.int64).max)
-    np.minimum.at(least, node, doc[active])
-    out[active] = doc[active] > least[node]
+    if len(active):
+        least = np.full(node.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(least, node, doc[active])
+        out[active] = doc[active] > least[node]
     return out
 
 
 def _trees(suffixes: DataFrame) -> DataFrame:
-    """``doc_id, hit``: place of a prefix times 512 plus the offsets, as bits, of its covered windows."""
+    """``doc_id, places, begin, stop``: maximal repeats of each row's words, counted from the places."""
 
-    def covered(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(parts)
-        prefix, doc, place, before, n = (t[c].to_numpy() for c in ("prefix", "doc_id", "place", "before", "windows"))
-        sizes = (n + WINDOW - GRAM - 1).astype(np.int64)
-        flat = np.frombuffer(b"".join(t["words"].to_pylist()), "<u4")
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        prefix, doc, shape = (t[c].to_numpy() for c in ("prefix", "doc_id", "shape"))
+        before, n = shape >> 4, shape & 15
+        words = words_of(t["words"].chunk(0))
         row = np.repeat(np.arange(len(n)), n)
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-        offset = before[row] - nth  # of the prefix in the window
-        start = (np.cumsum(sizes) - sizes)[row] + nth
-        group = np.unique(prefix, return_inverse=True)[1][row].astype(np.int64) * _GRAMS + offset
-        hit = repeats(group, flat[start[:, None] + np.arange(WINDOW - GRAM)], doc[row])
-        bits = np.bincount(row[hit], (1 << offset[hit]).astype(np.float64), len(n)).astype(np.int64)
-        some = np.flatnonzero(bits)
-        more = [(i, np.frombuffer(m, np.int64)) for i, m in zip(some.tolist(), t["more"].take(some).to_pylist(), strict=True) if m]
-        at = np.concatenate([some, *(np.full(len(m), i) for i, m in more)]).astype(np.int64)
-        places = np.concatenate([place[some], *(m for _, m in more)]).astype(np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(places << _GRAMS | bits[at])], names=["doc_id", "hit"])
+        # Windows with equal words have their gram at the same offset.
+        group = np.unique(prefix, return_inverse=True)[1][row].astype(np.int64) * 16 + before[row] - nth
+        hit = np.flatnonzero(repeats(group, words.codes.astype(np.int64), words.at[row] + nth, doc[row]))
+        row, nth = row[hit], nth[hit]
+        head = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(nth) != 1)][: len(hit)])
+        tail = np.r_[head[1:] - 1, len(hit) - 1][: len(head)]
+        at = pa.array(row[head])
+        return pa.RecordBatch.from_arrays([t["doc_id"].chunk(0).take(at), t["places"].chunk(0).take(at), pa.array(nth[head], pa.int32()), pa.array(nth[tail] + WINDOW, pa.int32())], names=["doc_id", "places", "begin", "stop"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -231,68 +250,86 @@ def _trees(suffixes: DataFrame) -> DataFrame:
             # Trees are built for whole prefixes: what is held ends before the last prefix of the batch.
             last = int(np.searchsorted(prefix, prefix[-1]))
             if size >= TOGETHER and (last or held[-1].column("prefix")[-1].as_py() != prefix[0]):
-                yield covered([*held, b.slice(0, last)] if last else held)
+                yield found([*held, b.slice(0, last)] if last else held)
                 held, size, b = [], 0, b.slice(last)
             held.append(b)
-            size += int(b.column("windows").to_numpy().sum())
+            size += int((b.column("shape").to_numpy() & 15).sum())
         if held:
-            yield covered(held)
+            yield found(held)
+
+    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, places binary, begin int, stop int")
+
+
+def _whole(suffixes: DataFrame) -> DataFrame:
+    """The same for prefixes that are whole windows: the smallest document of each is a pre-aggregated minimum."""
+    least = suffixes.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
+    return suffixes.join(least, "words").where("doc_id > least").select("doc_id", "places", F.lit(0).alias("begin"), F.lit(WINDOW).alias("stop"))
+
 
-    return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, hit long")
+def maximal_repeats(docs: DataFrame) -> DataFrame:
+    """``doc_id, hits``: for ``docs(doc_id, mark, text)`` the stretches that a smaller document has as well."""
+    # Left joins, so that the shuffled texts are the very exchange that later joins read again.
+    first = docs.join(_shared(_prefix_rows(docs), "cold", "hot").hint("shuffle_hash"), "doc_id", "left")
+    longer = _shared(_prefix_rows(first, "hot"), "cold_longer", "hot_longer")
+    second = first.join(longer.hint("shuffle_hash"), "doc_id", "left")
+    hits = _trees(_suffixes(first, "cold", GRAM)).union(_trees(_suffixes(second, "cold_longer", LONGER, "hot"))).union(_whole(_suffixes(second, "hot_longer", LONGER, "hot")))
+    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("places", "begin", "stop")).alias("hits"))
 
 
-def covered_windows(docs: DataFrame) -> DataFrame:
-    """``doc_id, hits`` for the documents that lose words; ``docs`` may have more columns than id and text."""
-    rows = _prefix_rows(docs)
-    shared = rows.groupBy("prefix").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi")
-    mine = rows.join(shared.select("prefix", (F.col("n") > GROUP).alias("hot")), "prefix").groupBy("doc_id")
-    mine = mine.agg(F.collect_list(F.when(~F.col("hot"), F.col("prefix"))).alias("cold_prefixes"), F.collect_list(F.when(F.col("hot"), F.col("prefix"))).alias("hot_prefixes"))
-    # A left join, so that the shuffled texts are the very exchange that the last join reads again.
-    joined = docs.join(mine.hint("shuffle_hash"), "doc_id", "left")
-    cold = _trees(_suffixes(joined, "cold_prefixes", False))
-    windows = _suffixes(joined, "hot_prefixes", True)
-    least = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("least"))
-    hot = windows.join(least, ["w1", "w2"]).where("doc_id > least").select("doc_id", (F.col("place") * (1 << _GRAMS) + 1).alias("hit"))
-    return cold.union(hot).groupBy("doc_id").agg(F.collect_list("hit").alias("hits"))
+def _copies(docs: DataFrame) -> DataFrame:
+    """``doc_id, copies``: marks of the rows whose whole text a smaller id has."""
+    narrow = scratch.written(docs.select("doc_id", "mark", F.sha2("text", 256).alias("digest")), "substring-digests")
+    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
+    return narrow.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("mark").alias("copies"))
 
 
-def removed(n: int, hits: np.ndarray) -> np.ndarray:
-    """Which of ``n`` words the covered windows cover."""
+def removed(n: int, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Which of ``n`` words lie in one of the stretches."""
     step = np.zeros(n + 1, np.int64)
-    place, bits = hits >> _GRAMS, hits & (1 << _GRAMS) - 1
-    for offset in range(_GRAMS):
-        s = place[bits >> offset & 1 > 0] - offset
-        np.add.at(step, s, 1)
-        np.add.at(step, s + WINDOW, -1)
+    np.add.at(step, begins, 1)
+    np.add.at(step, stops, -1)
     return np.cumsum(step[:-1]) > 0
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by single spaces."""
     small_batches(docs.sparkSession)
-    docs = docs.drop("n_words", "n_removed", "kept", "hits", "cold_prefixes", "hot_prefixes")
-    marked = docs.join(covered_windows(docs).hint("shuffle_hash"), "doc_id", "left")
+    new = ["n_words", "n_removed", "kept"]
+    others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
+    rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(F.lit(0).alias("__"), *others).alias("rest"))
+    named = rows.where(F.col("doc_id").isNotNull())
+    plain = named.select("doc_id", "mark", "text").where(F.length("text") >= 2 * WINDOW - 1)  # shorter texts have no window
+    named = named.join(_copies(plain).hint("shuffle_hash"), "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("mark")), F.lit(False))).drop("copies")
+    marked = named.join(maximal_repeats(named.where("NOT copy").select("doc_id", "mark", "text")).hint("shuffle_hash"), "doc_id", "left")
+    nothing = {"copy": F.lit(False), "hits": F.lit(None).cast(marked.schema["hits"].dataType)}
+    marked = marked.unionByName(rows.where(F.col("doc_id").isNull()).withColumns(nothing))
+
+    def gone(n: int, mark: int, copy: bool, hits: list[dict] | None) -> np.ndarray | None:
+        if copy and n >= WINDOW:
+            return np.ones(n, bool)
+        found = [(p[1:] + h["begin"], p[1:] + h["stop"]) for h in hits or () if (p := np.frombuffer(h["places"], np.int64))[0] == mark]
+        return removed(n, *map(np.concatenate, zip(*found, strict=True))) if found and not copy else None
 
     def cut(b: pa.RecordBatch) -> list:
         n_words, n_removed, kept = [], [], []
-        for text, hits in zip(b.column("text").to_pylist(), b.column("hits"), strict=True):
-            words = _words(text)
+        for text, *about in zip(*(b.column(c).to_pylist() for c in ("text", "mark", "copy", "hits")), strict=True):
+            words = (text or "").encode().split()
             n_words.append(len(words))
-            if hits.is_valid:
-                gone = removed(len(words), hits.values.to_numpy())
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+            if (out := gone(len(words), *about)) is not None:
+                words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())
         return [n_words, n_removed, kept]
 
     fields = [("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept", T.StringType())]
-    return map_batches(marked, cut, fields, keep=[c for c in marked.columns if c != "hits"])
+    done = map_batches(marked, cut, fields, keep=["doc_id", "text", "rest"])
+    return done.select(*(F.col(c) if c in ("doc_id", "text") else F.col("rest").getField(c).alias(c) for c in docs.columns if c not in new), *new)
 
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with the repeated words cut from their texts; texts that lose none stay as they are. ``n_chars``
     follows, where it is there."""
-    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_removed", "kept", "hits", "cold_prefixes", "hot_prefixes")}
+    own = {c: f"__own_{c}" for c in docs.columns if c in ("n_words", "n_removed", "kept")}
     done = deduplicated(docs.withColumnsRenamed(own))
     cut = F.col("n_removed") > 0
     new = {"text": F.when(cut, F.col("kept")).otherwise(F.col("text")), "n_chars": F.when(cut, F.length("kept").cast("long")).otherwise(F.col("n_chars"))}
