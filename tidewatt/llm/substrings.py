@@ -6,7 +6,8 @@ smallest gram, with the words to the left that the window has before it, so that
 Prefixes that only one document has are dropped, for nothing below them can repeat. Prefixes that more than ``GROUP``
 documents share are lengthened: their windows are suffixes of their own, partitioned by their first ``LONGER`` words.
 Where that prefix is still too common it is lengthened to the whole window: the partition is a single deep node, whose
-smallest document is a minimum that is aggregated before it is shuffled. So no task holds more than a bounded group.
+smallest document is a minimum that is aggregated before it is shuffled, and told to that document alone. So no task
+holds more than a bounded group, and nothing is joined within a group.
 
 A partition's tree is built from the top: nodes are split by the next words, nodes with one suffix are cut off, and what
 remains at depth ``WINDOW`` are the deep internal nodes. All but the smallest document's suffixes in them are repeats;
@@ -32,15 +33,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .. import scratch
 from .common import map_batches, small_batches, table
 
 WINDOW, GRAM, LONGER = 13, 5, 9
 _GRAMS = WINDOW - GRAM + 1  # of a window; its prefix starts at one of as many offsets
 #: Documents of a prefix above which it is lengthened, and windows of the trees that are built together.
-GROUP, TOGETHER = 1_024, 1 << 18
-SEED = 0x5DEECE66D
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
+GROUP, TOGETHER = 512, 1 << 18
+_MULTIPLIER, _KEY = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+#: Lanes of eight bytes that a word is hashed by, and which bits of a lane are the word's.
+_LANES, _MASK = 8, np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 #: Bits of a gram's hash that don't go into the shuffle. Prefixes that agree by chance share a task, no more.
 _SPARE = np.uint64(16)
 _IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
@@ -48,22 +49,44 @@ _IN_WORD = ~np.isin(np.arange(256), [0x20, *range(0x09, 0x0E)])
 
 @dataclass
 class Words:
-    """The words of a column of texts: codes of the distinct ones, and the bytes where each begins and ends."""
+    """The words of a column of texts: the bytes where each begins and ends, and the word where each text begins."""
 
     raw: bytes
-    codes: np.ndarray
-    distinct: pa.Array
     starts: np.ndarray
     ends: np.ndarray
-    at: np.ndarray  # word where each text begins, and the number of all
+    at: np.ndarray
+
+    def codes(self) -> np.ndarray:
+        """A number for each word, the same for the same bytes only."""
+        # One array of words and what lies between them, over the bytes as they are; every second is a word.
+        edges = np.empty(2 * len(self.starts), np.int32)
+        edges[::2], edges[1::2] = self.starts, self.ends
+        both = pa.Array.from_buffers(pa.binary(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(self.raw)])
+        return both.dictionary_encode().indices.to_numpy()[::2].astype(np.int64)
 
     def hashes(self) -> np.ndarray:
-        known = np.fromiter((xxhash.xxh64_intdigest(w, SEED) for w in self.distinct.to_pylist()), np.uint64, len(self.distinct))
-        return known[self.codes] if len(known) else np.zeros(0, np.uint64)
+        """A keyed hash of each word, eight bytes at a time; very long words are hashed by XXH64."""
+        size = self.ends - self.starts
+        eights = np.ndarray(len(self.raw), "<u8", self.raw + bytes(8), 0, (1,)) if self.raw else np.zeros(0, np.uint64)
+        h = size.astype(np.uint64) * _MULTIPLIER ^ _KEY
+        at, left, which = self.starts, size, slice(None)
+        for _ in range(_LANES):
+            x = eights[at] & _MASK[np.minimum(left, 8)]
+            x = (h[which] ^ x) * _MULTIPLIER
+            h[which] = x ^ x >> np.uint64(32)
+            more = np.flatnonzero(left > 8)
+            if not len(more):
+                break
+            which = more if isinstance(which, slice) else which[more]
+            at, left = at[more] + 8, left[more] - 8
+        for i in np.flatnonzero(size > 8 * _LANES).tolist():
+            h[i] = xxhash.xxh64_intdigest(self.raw[self.starts[i] : self.ends[i]], int(_KEY))
+        h *= _MULTIPLIER
+        return h ^ h >> np.uint64(29)
 
 
 def words_of(texts: pa.Array) -> Words:
-    """Words are told apart as the very bytes they are; no word becomes an object unless it is new to the column."""
+    """Found for all texts at once, so that no word becomes an object."""
     bounds = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
     data = texts.buffers()[2]
     raw = data[bounds[0] : bounds[-1]].to_pybytes() if data is not None else b""
@@ -74,15 +97,11 @@ def words_of(texts: pa.Array) -> Words:
     cut[bounds] = True
     starts = np.flatnonzero(inside[1:] & (~inside[:-1] | cut))
     ends = np.flatnonzero(inside[:-1] & (~inside[1:] | cut))
-    # One array of words and what lies between them, over the bytes as they are; every second is a word.
-    edges = np.empty(2 * len(starts), np.int32)
-    edges[::2], edges[1::2] = starts, ends
-    both = pa.Array.from_buffers(pa.binary(), max(0, len(edges) - 1), [None, pa.py_buffer(edges), pa.py_buffer(raw)]).dictionary_encode()
-    return Words(raw, both.indices.to_numpy()[::2], both.dictionary, starts, ends, np.searchsorted(starts, bounds))
+    return Words(raw, starts, ends, np.searchsorted(starts, bounds))
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """XXH64 of the words of all texts in one array, and where each text's begin and end."""
+    """Hashes of the words of all texts in one array, and where each text's begin and end."""
     w = words_of(texts)
     return w.hashes(), w.at
 
@@ -115,12 +134,13 @@ def anchors(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _distinct(key: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(key)]
-    key, doc = key[new], doc[new]
-    order = np.lexsort((key, doc))
-    key, doc = key[order], doc[order]
-    new = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(key)]
-    return key[new], doc[new]
+    """Each pair once, give or take pairs that meet in one hash."""
+    for _ in range(2):
+        new = np.r_[True, (np.diff(doc) != 0) | (np.diff(key) != 0)][: len(key)]
+        key, doc = key[new], doc[new]
+        order = np.argsort((key ^ doc.astype(np.uint64) << np.uint64(40)) * _MULTIPLIER)
+        key, doc = key[order], doc[order]
+    return key, doc
 
 
 def _prefix_rows(docs: DataFrame, hot: str | None = None) -> DataFrame:
@@ -158,37 +178,51 @@ def _shared(rows: DataFrame, cold: str, hot: str) -> DataFrame:
 SUFFIX = "prefix long, doc_id long, shape int, places binary, words binary"
 
 
-def _suffixes(joined: DataFrame, wanted: str, size: int, within: str | None = None) -> DataFrame:
-    """The suffixes below the ``wanted`` prefixes of ``size`` words, with the words of their windows.
+def _ints(value: pa.Scalar) -> np.ndarray:
+    return value.values.to_numpy().view(np.uint64) if value.is_valid else np.zeros(0, np.uint64)
+
+
+def longer_suffixes(w: Words, i: int, hashes: np.ndarray, within: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Windows of text ``i`` whose gram is ``within`` and whose longer prefix is ``wanted``: prefix, place and words."""
+    a = hashes[w.at[i] : w.at[i + 1]]
+    g, at = anchors(a)
+    place = np.flatnonzero(np.isin(g[at], within))
+    key = rolled(a, LONGER, LONGER)[place]
+    keep = np.isin(key, wanted)
+    place, key = place[keep], key[keep]
+    first = w.at[i] + place
+    return key, place, [b" ".join(w.raw[x:z].split()) for x, z in zip(w.starts[first].tolist(), w.ends[first + WINDOW - 1].tolist(), strict=True)]
+
+
+def _suffixes(joined: DataFrame, wanted: str, within: str | None = None) -> DataFrame:
+    """The suffixes below the ``wanted`` prefixes, with the words of their windows.
 
     A row of a gram has all windows around it: ``shape`` is the number of words before the gram times 16 plus the
     number of windows. A row of a longer prefix, of windows whose gram is in ``within``, is one window. Equal words in a
     document are one row; ``places`` has the row's mark and the words where they begin."""
 
-    def rows_of(w: Words, i: int, a: np.ndarray, keys: np.ndarray, inside: np.ndarray | None) -> Iterator[tuple]:
-        g, at = anchors(a)
-        if inside is None:
-            place, first, count = np.unique(at, return_index=True, return_counts=True)
-            key = g[place]
-        else:
-            first = np.flatnonzero(np.isin(g[at], inside))
-            place, count, key = first, np.ones(len(first), np.int64), rolled(a, size, size)[first]
-        keep = np.isin(key, keys)
-        place, first, count, key = place[keep], first[keep], count[keep], key[keep].view(np.int64)
+    def around(w: Words, i: int, hashes: np.ndarray, keys: np.ndarray) -> Iterator[tuple]:
+        g, at = anchors(hashes[w.at[i] : w.at[i + 1]])
+        place, first, count = np.unique(at, return_index=True, return_counts=True)
+        keep = np.isin(g[place], keys)
+        place, first, count = place[keep], first[keep], count[keep]
         begin, end = w.starts[w.at[i] + first], w.ends[w.at[i] + first + count + (WINDOW - 2)]
-        return zip(key.tolist(), ((place - first) * 16 + count).tolist(), first.tolist(), begin.tolist(), end.tolist(), strict=True)
+        for key, shape, f, x, z in zip(g[place].view(np.int64).tolist(), ((place - first) * 16 + count).tolist(), first.tolist(), begin.tolist(), end.tolist(), strict=True):
+            yield (key, shape, w.raw[x:z]), f
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             w = words_of(b.column("text"))
             hashes, out = w.hashes(), []
-            more = b.column(within) if within else [None] * b.num_rows
-            for i, (doc, mark, keys, inside) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), b.column(wanted), more, strict=True)):
+            for i, (doc, mark, keys) in enumerate(zip(b.column("doc_id").to_pylist(), b.column("mark").to_pylist(), map(_ints, b.column(wanted)), strict=True)):
+                if within:
+                    key, place, body = longer_suffixes(w, i, hashes, _ints(b.column(within)[i]), keys)
+                    rows = zip(((k, 1, x) for k, x in zip(key.view(np.int64).tolist(), body, strict=True)), place.tolist(), strict=True)
+                else:
+                    rows = around(w, i, hashes, keys)
                 found: dict[tuple, list[int]] = {}
-                inside = inside if inside is None else inside.values.to_numpy().view(np.uint64)
-                for key, shape, first, begin, end in rows_of(w, i, hashes[w.at[i] : w.at[i + 1]], keys.values.to_numpy().view(np.uint64), inside):
-                    body = w.raw[begin:end] if inside is None else b" ".join(w.raw[begin:end].split())
-                    found.setdefault((key, shape, body), [mark]).append(first)
+                for row, place in rows:
+                    found.setdefault(row, [mark]).append(place)
                 out += [(key, doc, shape, np.array(p, np.int64).tobytes(), body) for (key, shape, body), p in found.items()]
             if out:
                 kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
@@ -233,7 +267,7 @@ def _trees(suffixes: DataFrame) -> DataFrame:
         nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
         # Windows with equal words have their gram at the same offset.
         group = np.unique(prefix, return_inverse=True)[1][row].astype(np.int64) * 16 + before[row] - nth
-        hit = np.flatnonzero(repeats(group, words.codes.astype(np.int64), words.at[row] + nth, doc[row]))
+        hit = np.flatnonzero(repeats(group, words.codes(), words.at[row] + nth, doc[row]))
         row, nth = row[hit], nth[hit]
         head = np.flatnonzero(np.r_[True, (np.diff(row) != 0) | (np.diff(nth) != 1)][: len(hit)])
         tail = np.r_[head[1:] - 1, len(hit) - 1][: len(head)]
@@ -260,27 +294,33 @@ def _trees(suffixes: DataFrame) -> DataFrame:
     return suffixes.repartition("prefix").sortWithinPartitions("prefix").mapInArrow(run, "doc_id long, places binary, begin int, stop int")
 
 
-def _whole(suffixes: DataFrame) -> DataFrame:
-    """The same for prefixes that are whole windows: the smallest document of each is a pre-aggregated minimum."""
-    least = suffixes.groupBy("words").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("last")).where("least < last").drop("last")
-    return suffixes.join(least, "words").where("doc_id > least").select("doc_id", "places", F.lit(0).alias("begin"), F.lit(WINDOW).alias("stop"))
+def _own_windows(suffixes: DataFrame) -> DataFrame:
+    """``doc_id, own``: of the prefixes that are whole windows those whose smallest document this is, a minimum that is
+    aggregated before it is shuffled. All other documents know by their lists of prefixes that they repeat it."""
+    return suffixes.groupBy("words").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.collect_list("words").alias("own"))
 
 
-def maximal_repeats(docs: DataFrame) -> DataFrame:
-    """``doc_id, hits``: for ``docs(doc_id, mark, text)`` the stretches that a smaller document has as well."""
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """Add to ``docs(doc_id, mark, text, copy)`` the stretches of the rows that are no copies that a smaller document has
+    as well: ``hits`` of the trees and, for prefixes that are whole windows, the lists ``hot``, ``hot_longer`` and ``own``."""
     # Left joins, so that the shuffled texts are the very exchange that later joins read again.
-    first = docs.join(_shared(_prefix_rows(docs), "cold", "hot").hint("shuffle_hash"), "doc_id", "left")
-    longer = _shared(_prefix_rows(first, "hot"), "cold_longer", "hot_longer")
-    second = first.join(longer.hint("shuffle_hash"), "doc_id", "left")
-    hits = _trees(_suffixes(first, "cold", GRAM)).union(_trees(_suffixes(second, "cold_longer", LONGER, "hot"))).union(_whole(_suffixes(second, "hot_longer", LONGER, "hot")))
-    return hits.groupBy("doc_id").agg(F.collect_list(F.struct("places", "begin", "stop")).alias("hits"))
+    texts = docs.where("NOT copy").select("doc_id", "mark", "text")
+    first = _shared(_prefix_rows(texts), "cold", "hot").hint("shuffle_hash")
+    with_first = docs.join(first, "doc_id", "left")
+    texts = with_first.where("NOT copy")
+    longer = _shared(_prefix_rows(texts, "hot"), "cold_longer", "hot_longer").hint("shuffle_hash")
+    both = with_first.join(longer, "doc_id", "left")
+    texts_longer = both.where("NOT copy")
+    hits = _trees(_suffixes(texts, "cold")).union(_trees(_suffixes(texts_longer, "cold_longer", "hot")))
+    hits = hits.groupBy("doc_id").agg(F.collect_list(F.struct("places", "begin", "stop")).alias("hits"))
+    own = _own_windows(_suffixes(texts_longer, "hot_longer", "hot"))
+    return both.drop("cold", "cold_longer").join(hits.hint("shuffle_hash"), "doc_id", "left").join(own.hint("shuffle_hash"), "doc_id", "left")
 
 
-def _copies(docs: DataFrame) -> DataFrame:
-    """``doc_id, copies``: marks of the rows whose whole text a smaller id has."""
-    narrow = scratch.written(docs.select("doc_id", "mark", F.sha2("text", 256).alias("digest")), "substring-digests")
-    first = narrow.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-    return narrow.join(first, "digest").where("doc_id > first").groupBy("doc_id").agg(F.collect_set("mark").alias("copies"))
+def _firsts(docs: DataFrame) -> DataFrame:
+    """``doc_id, firsts``: marks of the rows that are the first of all with their text; other rows are copies."""
+    first = docs.groupBy(F.sha2("text", 256).alias("digest")).agg(F.min("doc_id").alias("doc_id"), F.first("mark").alias("mark"))
+    return first.groupBy("doc_id").agg(F.collect_set("mark").alias("firsts"))
 
 
 def removed(n: int, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -291,6 +331,26 @@ def removed(n: int, begins: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
+def _gone(b: pa.RecordBatch) -> Iterator[tuple[list[bytes], np.ndarray | None]]:
+    """The words of each row, and which of them are to go."""
+    hot = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(b.column("hot_longer")), 0), 0).to_numpy(zero_copy_only=False)).tolist()
+    w = words_of(b.column("text").take(pa.array(hot, pa.int64()))) if hot else None
+    hashes, nth = w.hashes() if hot else None, {i: k for k, i in enumerate(hot)}
+    cols = (b.column(c).to_pylist() for c in ("text", "mark", "copy", "hits"))
+    for i, (text, mark, copy, hits) in enumerate(zip(*cols, strict=True)):
+        words = (text or "").encode().split()
+        if copy:
+            yield words, np.ones(len(words), bool) if len(words) >= WINDOW else None
+            continue
+        found = [(p[1:] + h["begin"], p[1:] + h["stop"]) for h in hits or () if (p := np.frombuffer(h["places"], np.int64))[0] == mark]
+        if i in nth:
+            _, place, body = longer_suffixes(w, nth[i], hashes, _ints(b.column("hot")[i]), _ints(b.column("hot_longer")[i]))
+            own = set(b.column("own")[i].as_py() or ())
+            place = place[[x not in own for x in body]] if len(place) else place
+            found.append((place, place + WINDOW))
+        yield words, removed(len(words), *map(np.concatenate, zip(*found, strict=True))) if found else None
+
+
 def deduplicated(docs: DataFrame) -> DataFrame:
     """Add ``n_words``, ``n_removed`` and ``kept``, the words that stay, joined by single spaces."""
     small_batches(docs.sparkSession)
@@ -298,25 +358,18 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("doc_id", "text", *new)]
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("mark"), F.struct(F.lit(0).alias("__"), *others).alias("rest"))
     named = rows.where(F.col("doc_id").isNotNull())
-    plain = named.select("doc_id", "mark", "text").where(F.length("text") >= 2 * WINDOW - 1)  # shorter texts have no window
-    named = named.join(_copies(plain).hint("shuffle_hash"), "doc_id", "left").withColumn("copy", F.coalesce(F.array_contains("copies", F.col("mark")), F.lit(False))).drop("copies")
-    marked = named.join(maximal_repeats(named.where("NOT copy").select("doc_id", "mark", "text")).hint("shuffle_hash"), "doc_id", "left")
-    nothing = {"copy": F.lit(False), "hits": F.lit(None).cast(marked.schema["hits"].dataType)}
-    marked = marked.unionByName(rows.where(F.col("doc_id").isNull()).withColumns(nothing))
-
-    def gone(n: int, mark: int, copy: bool, hits: list[dict] | None) -> np.ndarray | None:
-        if copy and n >= WINDOW:
-            return np.ones(n, bool)
-        found = [(p[1:] + h["begin"], p[1:] + h["stop"]) for h in hits or () if (p := np.frombuffer(h["places"], np.int64))[0] == mark]
-        return removed(n, *map(np.concatenate, zip(*found, strict=True))) if found and not copy else None
+    named = named.join(_firsts(named.select("doc_id", "mark", "text")).hint("shuffle_hash"), "doc_id", "left")
+    named = named.withColumn("copy", ~F.coalesce(F.array_contains("firsts", F.col("mark")), F.lit(False))).drop("firsts")
+    marked = with_repeats(named)
+    nothing = {c: F.lit(None).cast(marked.schema[c].dataType) for c in ("hot", "hot_longer", "hits", "own")}
+    marked = marked.unionByName(rows.where(F.col("doc_id").isNull()).withColumns({"copy": F.lit(False)} | nothing))
 
     def cut(b: pa.RecordBatch) -> list:
         n_words, n_removed, kept = [], [], []
-        for text, *about in zip(*(b.column(c).to_pylist() for c in ("text", "mark", "copy", "hits")), strict=True):
-            words = (text or "").encode().split()
+        for words, gone in _gone(b):
             n_words.append(len(words))
-            if (out := gone(len(words), *about)) is not None:
-                words = [w for w, g in zip(words, out.tolist(), strict=True) if not g]
+            if gone is not None:
+                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             n_removed.append(n_words[-1] - len(words))
             kept.append(b" ".join(words).decode())
         return [n_words, n_removed, kept]
