@@ -8,7 +8,9 @@ an empty result. Further columns are ignored. One conversation at a time is held
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -24,9 +26,15 @@ TURNS = {"user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>"), "system":
 ROLE, NAMED, END = "[ROLE]", "[TEXT]", "[/ROLE]"
 MARKS = (*(m for pair in TURNS.values() for m in pair), ROLE, NAMED, END)
 CONTROL = (*MARKS, "<|endoftext|>")
-_RAW = re.compile("|".join(f"(?<={re.escape(c[0])})~*{re.escape(c[1:])}" for c in CONTROL))
-_ESCAPED = re.compile("|".join(f"(?<={re.escape(c[0])})~+{re.escape(c[1:])}" for c in CONTROL))
-_MARK = re.compile("|".join(re.escape(m) for m in sorted(MARKS, key=len, reverse=True)))
+
+
+def _any(words: tuple[str, ...], between: str = "") -> re.Pattern:
+    """One of the strings, with ``between`` after its first character; the search skips to that character."""
+    first = sorted({w[0] for w in words})
+    return re.compile("|".join(f"{re.escape(c)}{between}(?:{'|'.join(sorted((re.escape(w[1:]) for w in words if w[0] == c), key=len, reverse=True))})" for c in first))
+
+
+_RAW, _ESCAPED, _MARK = _any(CONTROL, "~*"), _any(CONTROL, "~+"), _any(MARKS)
 SCHEMA = "conv_id long, n_turns long, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
 #: Characters that are encoded at once.
 ENCODE_CHARS = 1 << 20
@@ -34,11 +42,11 @@ ENCODE_CHARS = 1 << 20
 
 def escape(text: str) -> str:
     """Put a ~ after the first character of each control string, and one more where some are there already."""
-    return _RAW.sub(lambda m: f"~{m[0]}", text)
+    return _RAW.sub(lambda m: f"{m[0][0]}~{m[0][1:]}", text)
 
 
 def unescape(text: str) -> str:
-    return _ESCAPED.sub(lambda m: m[0][1:], text)
+    return _ESCAPED.sub(lambda m: m[0][0] + m[0][2:], text)
 
 
 def render(turns: list[tuple[str, str]]) -> tuple[str, list[tuple[int, int]]]:
@@ -83,13 +91,15 @@ def loss_mask(spans: list[tuple[int, int]], starts: np.ndarray, ends: np.ndarray
     return mask
 
 
-def masked_text(formatted: str, starts: list[int], ends: list[int], mask: list[bool]) -> list[str]:
+def masked_text(formatted: str, starts: np.ndarray, ends: np.ndarray, mask: np.ndarray) -> list[str]:
     """The stretches of text under the mask."""
-    m = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]])))
-    return [formatted[starts[a] : ends[b - 1]] for a, b in m.reshape(-1, 2)]
+    m = np.flatnonzero(np.diff(np.concatenate([[0], np.asarray(mask, np.int8), [0]]))).reshape(-1, 2)
+    return [formatted[a:b] for a, b in zip(np.asarray(starts)[m[:, 0]].tolist(), np.asarray(ends)[m[:, 1] - 1].tolist(), strict=True)]
 
 
+@functools.cache
 def load_tokenizer(path: str):
+    """Read once in a worker's life."""
     from tokenizers import AddedToken, Tokenizer
 
     t = Tokenizer.from_file(path)
@@ -117,7 +127,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
     def encoded(held: list[tuple], tokenizer) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(7)]
         for (key, n, text, spans), e in zip(held, tokenizer.encode_batch([h[2] for h in held], add_special_tokens=False), strict=True):
-            at = np.array(e.offsets, np.int32).reshape(-1, 2)
+            at = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
             for to, x in zip(out, (key, n, text, np.array(e.ids, np.int32), at[:, 0], at[:, 1], loss_mask(spans, at[:, 0], at[:, 1])), strict=True):
                 to.append(x)
         ints = pa.list_(pa.int32())
@@ -146,7 +156,8 @@ def read_back(formatted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for key, text, *spans in zip(*(b.column(c).to_pylist() for c in ("conv_id", "formatted", "token_start", "token_end", "loss_mask")), strict=True):
+            lists = [[x.values.to_numpy(zero_copy_only=False) for x in b.column(c)] for c in ("token_start", "token_end", "loss_mask")]
+            for key, text, *spans in zip(b.column("conv_id").to_pylist(), b.column("formatted").to_pylist(), *lists, strict=True):
                 turns = parse(text)
                 loss = [unescape(x) for x in masked_text(text, *spans)]
                 out.append({

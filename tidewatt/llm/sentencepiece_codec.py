@@ -3,8 +3,9 @@
 The model's protobuf is parsed here; its normaliser, white-space marker, scores (as a unigram model, or as the
 merges that the scores of a BPE model stand for) and byte fallback are rebuilt with the library. Where no
 piece has the marker after another character, text is encoded by the runs between markers, which are encoded
-once in multithreaded batches and remembered; else whole texts are encoded. ``parity`` compares with the
-SentencePiece library, row by row.
+once in multithreaded batches and remembered; else whole texts are encoded. ``parity`` says whether the
+SentencePiece library finds the same ids: by runs, each distinct run is compared when it is learned and a row has
+parity if all of its runs have; else whole rows are compared.
 
 Null and empty texts have no ids. Rows are handled one by one, so repeated rows, ties and empty tables need no
 care; existing columns with an output's name are replaced, all others are kept.
@@ -129,7 +130,10 @@ class Codec:
             self.tokenizer.pre_tokenizer = pre_tokenizers.Split(Regex(self.run.pattern), "isolated")
         #: Without a character map and trimming the normaliser only marks spaces, which a string can do itself.
         self.plain = m.escape_spaces and not m.charsmap and not m.trim_spaces
+        self.compares_runs = self.by_runs and self.plain and m.dummy_prefix
         self.known: dict[str, bytes] = {}
+        #: With ``theirs``, the SentencePiece library's model, runs whose ids differ.
+        self.theirs, self.unlike = None, set()
 
     @classmethod
     @functools.cache
@@ -137,6 +141,35 @@ class Codec:
         """One codec for the worker's life, so that it keeps what it knows."""
         return cls(path)
 
+    @classmethod
+    @functools.cache
+    def checked(cls, path: str) -> "Codec":
+        """One that compares with the SentencePiece library."""
+        import sentencepiece
+
+        codec = cls(path)
+        codec.theirs = sentencepiece.SentencePieceProcessor(model_file=path)
+        return codec
+
+    def _compare(self, new: list[str]) -> None:
+        """The library puts a mark before a text, so a run goes without its first; runs of marks alone follow a letter."""
+        bare = [r for r in new if not r.strip(MARK)]
+        full = [r for r in new if r.strip(MARK)]
+        for part in (full[a : a + AT_ONCE] for a in range(0, len(full), AT_ONCE)):
+            found = self.theirs.encode([r[1:].replace(MARK, " ") for r in part], num_threads=1)
+            self.unlike.update(r for r, x in zip(part, found, strict=True) if np.array(x, "<u4").tobytes() != self.known[r])
+        letter = self.theirs.encode("a")
+        for r in bare:
+            found = self.theirs.encode("a" + r.replace(MARK, " "))
+            if found[: len(letter)] != letter or np.array(found[len(letter) :], "<u4").tobytes() != self.known[r]:
+                self.unlike.add(r)
+
+    def parity(self, bodies: list[str], runs: list[list[str]], ids: list[np.ndarray]) -> list[bool]:
+        if self.compares_runs:
+            return [not self.unlike or self.unlike.isdisjoint(r) for r in runs]
+        theirs = self.theirs.encode(bodies, num_threads=1)
+        return [len(x) == len(y) and bool((x == np.array(y, "<u4")).all()) for x, y in zip(ids, theirs, strict=True)]
+
     def normalize(self, text: str) -> str:
         if self.plain:
             return (MARK if self.model.dummy_prefix and text else "") + text.replace(" ", MARK)
@@ -155,11 +188,18 @@ class Codec:
             part = apart[a : a + AT_ONCE]
             self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
 
-    def encode(self, bodies: list[str]) -> list[np.ndarray]:
-        runs = [self.run.findall(self.normalize(t)) for t in bodies]
+    def runs(self, bodies: list[str]) -> list[list[str]]:
+        return [self.run.findall(self.normalize(t)) for t in bodies]
+
+    def encode(self, bodies: list[str], runs: list[list[str]] | None = None) -> list[np.ndarray]:
+        runs = self.runs(bodies) if runs is None else runs
         if len(self.known) > REMEMBERED or not self.by_runs:
             self.known.clear()
-        self._learn([r for r in set().union(*runs) if r not in self.known])
+            self.unlike.clear()
+        new = [r for r in set().union(*runs) if r not in self.known]
+        self._learn(new)
+        if self.theirs and self.compares_runs:
+            self._compare(new)
         return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), "<u4") for r in runs]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
@@ -192,20 +232,15 @@ def decode(df: DataFrame, model_path: str, ids: str = "ids") -> DataFrame:
 
 def check(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """Encode and decode in one pass: ``n_ids, ids_crc32, decoded`` and ``parity`` with the SentencePiece library."""
-    held: list = []
+    held: list[Codec] = []
 
     def run(b: pa.RecordBatch) -> list:
         if not held:
-            import sentencepiece
-
-            held.extend([Codec.of(model_path), sentencepiece.SentencePieceProcessor(model_file=model_path)])
+            held.append(Codec.checked(model_path))
         bodies = texts(b, text)
-        ids = held[0].encode(bodies)
-        theirs = held[1].encode(bodies, num_threads=1)
-        return [
-            [len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids], held[0].decode(ids),
-            [len(x) == len(y) and (x == np.array(y, "<u4")).all() for x, y in zip(ids, theirs, strict=True)],
-        ]
+        runs = held[0].runs(bodies)
+        ids = held[0].encode(bodies, runs)
+        return [[len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids], held[0].decode(ids), held[0].parity(bodies, runs, ids)]
 
     return map_batches(df, run, [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("decoded", T.StringType()), ("parity", T.BooleanType())])
 
