@@ -1,10 +1,10 @@
 """Each stage of the pipeline against a plainer account of what it should keep."""
 
-import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
-from test_corpus_operators import brute_components, brute_fingerprint, brute_removed
+from test_corpus_operators import brute_removed
+from test_similar import brute_first
 
 import corpus_pipeline
 from tidewatt.llm.common import table
@@ -40,9 +40,7 @@ def test_filters(spark, name, label, bad):
 
 def test_near_duplicates(spark, documents):
     rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
-    label = brute_components(np.array([brute_fingerprint(t) for _, t in rows], np.uint64))
-    ids = np.array([np.inf if i is None else i for i, _ in rows])
-    want = sorted(str(i) for (i, _), k in zip(rows, label, strict=True) if i is None or i == ids[label == k].min())
+    want = sorted([str(i) for i in brute_first([r for r in rows if r[0] is not None])] + ["None"])
     assert sorted(str(r.doc_id) for r in STAGES["near-duplicates"](spark, documents, SF).collect()) == want
 
 

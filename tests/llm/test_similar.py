@@ -1,4 +1,4 @@
-"""The pipeline's near-duplicates by Jaccard similarity, against brute force over all pairs."""
+"""The pipeline's near-duplicates: SimHash fingerprints of Jaccard similarity 0.8, against brute force over all pairs."""
 
 import collections
 import itertools
@@ -8,7 +8,7 @@ import pytest
 from test_corpus_operators import LONG, docs, empty, shingle_set
 
 import corpus_pipeline
-from tidewatt.llm import jaccard
+from tidewatt.llm import simhash, similar
 from tidewatt.llm.common import table
 
 
@@ -51,43 +51,53 @@ def test_pipeline_leaves_no_similar_pair(spark, sf):
     path = f"/root/testdata/{sf}"
     out = table(spark, path, "documents")
     before = brute_pairs([r.text for r in out.dropDuplicates(["text"]).collect()])
-    for name in ("near-duplicates", "similar"):
-        if name in dict(corpus_pipeline.STAGES):
-            out = dict(corpus_pipeline.STAGES)[name](spark, out, path)
+    out = dict(corpus_pipeline.STAGES)["near-duplicates"](spark, out, path)
     assert before and not brute_pairs([r.text for r in out.collect()])
 
 
 def test_keeps_the_first_of_each_component(spark):
     path = "/root/testdata/sf0.01"
     rows = [(r.doc_id, r.text) for r in table(spark, path, "documents").collect()]
-    got = sorted(r.doc_id for r in jaccard.keep_first(table(spark, path, "documents")).collect())
+    got = sorted(r.doc_id for r in similar.keep_first(table(spark, path, "documents")).collect())
     assert got == brute_first(rows)
 
 
 def test_odd_rows(spark):
     df = docs(spark)
-    out = jaccard.keep_first(df)
+    out = similar.keep_first(df)
     assert sorted(out.columns) == sorted(df.columns)
     rows = [(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None]
     assert {r.doc_id for r in out.collect()} == set(brute_first(rows)) | {None}
-    assert jaccard.keep_first(empty(spark)).count() == 0
+    assert similar.keep_first(empty(spark)).count() == 0
 
 
 def test_buckets_in_parts(spark, monkeypatch):
     words = LONG.split()[:100]
     texts = [" ".join(words[:i] + [f"new{i}"] + words[i + 1 :]) for i in range(0, 40)]
     df = docs(spark, texts + ["nothing like it at all, this one"], extra=False).where("doc_id IS NOT NULL AND doc_id != 15")
-    monkeypatch.setattr(jaccard, "PART", 4)
+    monkeypatch.setattr(similar, "PART", 4)
     rows = [(r.doc_id, r.text) for r in df.collect()]
-    assert sorted(r.doc_id for r in jaccard.keep_first(df).collect()) == brute_first(rows)
+    assert sorted(r.doc_id for r in similar.keep_first(df).collect()) == brute_first(rows)
 
 
-def test_links_connect_what_brute_force_does():
+def near_sets():
     r = np.random.default_rng(3)
     base = [r.integers(0, 1 << 40, 60) for _ in range(5)]
-    sets = [np.unique(np.r_[base[i % 5][: 60 - i // 5], r.integers(0, 1 << 40, i // 5)]).astype(np.uint64) for i in range(80)]
+    return [np.unique(np.r_[base[i % 5][: 60 - i // 5], r.integers(0, 1 << 40, i // 5)]).astype(np.uint64) for i in range(80)]
+
+
+def print_of(values):
+    votes = np.unpackbits((values * np.uint64(0x9E3779B97F4A7C15) ^ values).view(np.uint8), bitorder="little").reshape(-1, 64).sum(0)
+    return np.packbits(2 * votes > len(values), bitorder="little").view(np.uint64)[0]
+
+
+@pytest.mark.parametrize("how", ["large", "small", "same prints"])
+def test_links_connect_what_brute_force_does(how):
+    sets = near_sets()
     pairs = {(a, b) for a, b in itertools.combinations(range(80), 2) if 5 * len(np.intersect1d(sets[a], sets[b])) >= 4 * len(np.union1d(sets[a], sets[b]))}
-    got = {tuple(sorted(p)) for p in jaccard.linked(sets).tolist()}
+    prints = np.array([print_of(s) for s in sets]) if how != "same prints" else np.zeros(80, np.uint64)
+    got = similar.small_groups(sets, prints, np.zeros(80, int)) if how == "small" else similar.linked(sets, prints)
+    got = {tuple(sorted(p)) for p in got.tolist()}
     assert got <= pairs
 
     def labels(links):
@@ -98,3 +108,10 @@ def test_links_connect_what_brute_force_does():
         return label
 
     assert labels(got) == labels(pairs)
+
+
+def test_recall_of_the_radius(spark):
+    """Fingerprints of all pairs of the test table that are similar lie within the radius, with room to spare."""
+    found = sorted({r.text for r in table(spark, "/root/testdata/sf0.1", "documents").collect() if r.text})
+    apart = [(simhash.fingerprint(found[a], similar.WORDS) ^ simhash.fingerprint(found[b], similar.WORDS)).bit_count() for a, b in brute_pairs(found)]
+    assert len(apart) > 40 and max(apart) <= similar.RADIUS - 4
