@@ -1,9 +1,8 @@
 """The corpus pipeline: each stage works on all that the stage before it kept.
 
-Toxic documents go, then documents of low quality, then all but the first of each group of near-duplicates, by
-fingerprints and then by the Jaccard similarity of what those leave;
-words that an earlier document's windows cover are cut, and what is left is packed into token sequences. The
-classifiers learn from labels that aren't held out; nulls, empty and repeated rows fare as in the operators.
+Toxic documents go, then documents of low quality, then all but the first of each group of near-duplicates: operator
+4 with five-word shingles, whose candidates are linked where their Jaccard similarity is 0.8 or more. Words that an
+earlier document's windows cover are cut, and what is left is packed into token sequences. The classifiers learn from labels that aren't held out; nulls, empty and repeated rows fare as in the operators.
 All stages but the last return the columns of their input.
 """
 
@@ -12,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewatt import scratch
-from tidewatt.llm import jaccard, packing, quality, simhash, substrings, toxicity
+from tidewatt.llm import packing, quality, similar, substrings, toxicity
 from tidewatt.llm.common import small_batches, table
 
 
@@ -25,11 +24,7 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return simhash.keep_first(docs)
-
-
-def drop_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_first(docs)
+    return similar.keep_first(docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +37,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 
-STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near-duplicates", drop_near_duplicates), ("similar", drop_similar), ("substrings", cut_repeats), ("packing", pack)]
+STAGES = [("toxicity", drop_toxic), ("quality", keep_good), ("near-duplicates", drop_near_duplicates), ("substrings", cut_repeats), ("packing", pack)]
 #: SQL cannot train the classifiers, so the stages are tested against brute force instead.
 ORACLE_SQL = None
 
