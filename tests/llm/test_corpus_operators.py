@@ -66,6 +66,48 @@ def test_minhash_neighbours_and_likeness(spark, tmp_path):
     assert all(0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 for r in got)
 
 
+def brute_sketch(spark, texts):
+    """Bins, densification and low bits by plain loops over the shingles' hashes, which Spark gives."""
+    shift, low = 64 - minhash.BINS.bit_length() + 1, (1 << 64 - minhash.BINS.bit_length() + 1) - 1
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    probes = spark.range(minhash.BINS).select(F.col("id").cast("int").alias("b")).select("b", F.xxhash64("b", F.lit(1)).alias("o"), F.xxhash64("b", F.lit(2)).alias("s")).collect()
+    order = {r.b: [(r.o + (2 * (r.s % (minhash.BINS // 2)) + 1) * t) % minhash.BINS for t in range(minhash.BINS)] for r in probes}
+    out = []
+    for r in frame.select("text", minhash.shingles(minhash.words_of(F.col("text"))).alias("h")).collect():
+        w = words(r.text)
+        assert len(r.h) == (max(1, len(w) - 4) if w else 0)
+        held = {}
+        for h in r.h:
+            b, rest = (h >> shift) + minhash.BINS // 2, h & low  # bins in the order of signed hashes
+            held[b] = min(held.get(b, low), rest)
+        held = {b: v for b, v in held.items() if v != low}
+        values = [held.get(b, next((held[p] for p in order[b] if p in held), None)) for b in range(minhash.BINS)] if held else []
+        out.append([v & (1 << minhash.BITS) - 1 for v in values])
+    return out
+
+
+def test_minhash_against_brute_force(spark, tmp_path):
+    """Fingerprints, near_edited and near_next of the query."""
+    path = str(tmp_path)
+    df = docs(spark).where("doc_id IS NOT NULL").dropDuplicates(["doc_id"])
+    df.write.parquet(f"{path}/documents.parquet")
+    rows = sorted((i, t or "") for i, t in df.select("doc_id", "text").collect())
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for (_, t), (_, n) in zip(rows, rows[1:] + rows[:1], strict=True)]
+    own, other = brute_sketch(spark, [t for _, t in rows]), brute_sketch(spark, edited)
+
+    def like(a, b):
+        if a == b:
+            return 1.0
+        same, chance = sum(x == y for x, y in zip(a, b, strict=False)), 2.0**-minhash.BITS
+        return max(0.0, (same / minhash.BINS - chance) / (1 - chance)) if a and b else 0.0
+
+    got = {r.doc_id: r for r in minhash.op1_minhash(spark, path).collect()}
+    shown = lambda s: "".join(f"{x:02x}" for x in s) or "00" * minhash.BINS
+    for k, (i, _) in enumerate(rows):
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (shown(own[k]), shown(other[k]))
+        assert got[i].near_edited == pytest.approx(like(own[k], other[k])) and got[i].near_next == pytest.approx(like(own[k], own[(k + 1) % len(rows)]))
+
+
 def test_minhash_estimates_jaccard(spark):
     rng = np.random.default_rng(5)
     pairs = []
@@ -136,6 +178,63 @@ def test_toxicity_risk_is_not_negative():
     assert toxicity.sigmoid(w[0] + b) > 0.5 > toxicity.sigmoid(w[1] + b)
 
 
+def plain_fit(rows, positive, prior, width):
+    """The non-negative risk's descent by loops over rows."""
+    n_p, n_u = sum(positive), len(positive) - sum(positive)
+    w = [0.0] * width + [np.log(prior / (1 - prior))]
+    m, v = [0.0] * (width + 1), [0.0] * (width + 1)
+    for step in range(1, toxicity.STEPS + 1):
+        z = [sum(w[c] for c in row) + w[-1] for row in rows]
+        as_negative = [np.log1p(np.exp(-abs(x))) + max(0.0, x) for x in z]
+        bracket = sum(x for x, p in zip(as_negative, positive, strict=True) if not p) / n_u - prior * sum(x for x, p in zip(as_negative, positive, strict=True) if p) / n_p
+        grad = [toxicity.DECAY * x for x in w[:-1]] + [0.0]
+        for row, x, p in zip(rows, z, positive, strict=True):
+            q = 1 / (1 + np.exp(-x))
+            negative = (-prior * q / n_p if p else q / n_u) * (1 if bracket >= 0 else -1)
+            for c in [*row, width]:
+                grad[c] += negative + (prior * (q - 1) / n_p if p else 0.0)
+        for c in range(width + 1):
+            m[c], v[c] = 0.9 * m[c] + 0.1 * grad[c], 0.999 * v[c] + 0.001 * grad[c] ** 2
+            w[c] -= toxicity.RATE * (m[c] / (1 - 0.9**step)) / (np.sqrt(v[c] / (1 - 0.999**step)) + 1e-8)
+    return w
+
+
+@pytest.mark.parametrize("prior", [0.1, 0.4])
+def test_toxicity_fit_against_plain_loops(prior):
+    r = np.random.default_rng(8)
+    rows = [sorted(set(r.integers(0, 12, 4).tolist()) | ({12} if k < 15 else set())) for k in range(60)]
+    positive = np.arange(60) < 15
+    at = np.repeat(np.arange(60), [len(x) for x in rows])
+    w, b = toxicity.fit_one(at, np.concatenate(rows), positive, prior, 13)
+    assert [*w, b] == pytest.approx(plain_fit(rows, positive.tolist(), prior, 13), abs=1e-6)
+
+
+@pytest.mark.parametrize(("module", "query", "threshold"), [(toxicity, "op2_toxicity", 0.7), (quality, "op7_quality", 0.5)])
+def test_classifier_queries(spark, tmp_path, module, query, threshold):
+    path = str(tmp_path)
+    d, labels = labelled(spark, 300)
+    d.unionByName(spark.createDataFrame([(1_000, None), (1_001, ""), (None, "a b"), (7, "again")], "doc_id long, text string")).withColumn("score", F.lit("mine")).write.parquet(f"{path}/documents.parquet")
+    labels.write.parquet(f"{path}/labels.parquet")
+    out = getattr(module, query)(spark, path)
+    assert [n for n, _ in out.dtypes] == ["doc_id", "held_out", "score", "predicted"] and dict(out.dtypes)["score"] == "double" and dict(out.dtypes)["predicted"] == "int"
+    rows = out.collect()
+    assert len(rows) == 304
+    for r in rows:
+        assert r.held_out == (r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 3 == 1)
+        assert 0 <= r.score <= 1 and r.predicted == int(r.score >= threshold)
+    assert len({r.score for r in rows if r.doc_id in (1_000, 1_001)}) == 1
+
+
+def test_toxicity_scores_against_plain_sums(spark):
+    d, labels = labelled(spark, 300)
+    weights, intercept = toxicity.fit(d, labels)
+    for r in toxicity.with_scores(d, (weights, intercept)).collect():
+        found = set(re.findall(r"\w+", r.text.lower()))
+        found |= {f"{w[:5]}*" for w in found if len(w) > 5}
+        z = sum(float(weights[b]) for b in {zlib.crc32(w.encode()) % toxicity.BUCKETS for w in found}) + intercept
+        assert r.score == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-5)
+
+
 def test_quality_held_out(spark):
     d, labels = labelled(spark)
     assert accuracy(quality.with_scores(d, quality.fit(d, labels)), labels, "quality", quality.THRESHOLD) > 0.95
@@ -163,6 +262,49 @@ def test_quality_gradients():
         assert (up - down) / 2e-6 == pytest.approx(np.sqrt((grad**2).sum()), rel=0.01), name
 
 
+def plain_score(net, raw):
+    """The network's probability, window by window."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    raw = raw + bytes(max(0, quality.CHUNK - len(raw)))
+    starts = [*range(0, len(raw) - quality.CHUNK, quality.CHUNK - quality.WIDTH + 1), len(raw) - quality.CHUNK]
+    pooled, seen = [], set()
+    for s in starts:
+        best = np.full(quality.FILTERS, -np.inf)
+        for at in range(s, s + quality.CHUNK - quality.WIDTH + 1):
+            seen.add(at)
+            best = np.maximum(best, p["embed"][list(raw[at : at + quality.WIDTH])].ravel() @ p["filter"] + p["filter_b"])
+        pooled.append(np.maximum(best, 0))
+    assert seen == set(range(len(raw) - quality.WIDTH + 1))
+    f = np.concatenate([np.mean(pooled, 0), np.max(pooled, 0)])
+    z = np.maximum(f @ p["dense"] + p["dense_b"], 0) @ p["out"] + p["out_b"]
+    return 1 / (1 + np.exp(-z[0]))
+
+
+def test_quality_forward_against_plain_loops():
+    r = np.random.default_rng(4)
+    bodies = [r.integers(0, 256, n, dtype=np.uint8).tobytes() for n in (0, 1, 7, 1_023, 1_024, 1_025, 2_041, 2_042, 5_000)]
+    net = quality.Network(3)
+    assert net.scores(bodies) == pytest.approx([plain_score(net, x) for x in bodies], abs=1e-5)
+
+
+def test_quality_scores_do_not_depend_on_the_batch():
+    r = np.random.default_rng(6)
+    bodies = [r.integers(32, 127, int(n), dtype=np.uint8).tobytes() for n in r.integers(0, 6_000, 150)]
+    net = quality.Network(5)
+    alone = [float(net.scores([b])[0]) for b in bodies]
+    assert net.scores(bodies).tolist() == alone == net.scores(bodies[::-1])[::-1].tolist()
+
+
+def test_quality_sample_passes_over_texts_that_do_not_fit(spark, monkeypatch):
+    monkeypatch.setattr(quality, "SAMPLE_BYTES", 1_000)
+    rows = [(i, 1, "x" * 100) for i in range(30)] + [(i, 0, "y" * 5_000) for i in range(100, 103)] + [(103, 0, "z" * 2_000), (5, 1, "w" * 900), (6, 1, "v" * 50_000)]
+    kept = quality.that_fit(spark.createDataFrame(rows, "doc_id long, good int, text string"))
+    sizes = {i: sum(len(t) for k, _, t in rows if k == i) for i, _, _ in rows}
+    assert [i for i, good in kept if good == 0] == [103]
+    good = [i for i, g in kept if g == 1]
+    assert 5 <= len(good) <= 10 and 6 not in good and sum(sizes[i] for i in good) <= 1_000
+
+
 @given(st.binary(max_size=5_000))
 @settings(max_examples=40, deadline=None)
 def test_quality_chunks_cover_everything(raw):
@@ -230,6 +372,42 @@ def test_mpegts_finds_damage():
         mpegts.demux(bytes(media))
 
 
+def test_mpegts_ends_a_damaged_unit_at_the_next():
+    payload = bytes(i * i % 251 for i in range(3 * mpegts.UNIT))
+    media = mpegts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    starts = mpegts.demux(media)["random_access"]
+    gone = starts[1] + 40
+    back = mpegts.demux(b"".join(packets[:gone] + packets[gone + 1 :]))
+    assert back["damaged"] == [1] and back["continuity_errors"] == 1
+    assert len(back["payload"]) == len(payload) - 184
+    assert back["payload"][: mpegts.UNIT] == payload[: mpegts.UNIT] and back["payload"][-mpegts.UNIT :] == payload[-mpegts.UNIT :]
+    last = mpegts.demux(b"".join(packets[: starts[1] - 3] + packets[starts[1] - 2 :]))  # the last packet of the first unit
+    assert last["damaged"] == [0] and last["payload"][-2 * mpegts.UNIT :] == payload[-2 * mpegts.UNIT :]
+
+
+def test_mpegts_can_be_entered_at_each_random_access_point():
+    payload = bytes(i * i % 251 for i in range(3 * mpegts.UNIT + 100))
+    media = mpegts.mux(payload)
+    for i, packet in enumerate(mpegts.demux(media)["random_access"]):
+        back = mpegts.demux(media[188 * (packet - 2) :])  # with the tables before it
+        assert back["payload"] == payload[i * mpegts.UNIT :] and not back["damaged"] and not back["continuity_errors"]
+
+
+def test_mpegts_duplicates_and_table_counters():
+    payload = bytes(2 * mpegts.UNIT)
+    media = mpegts.mux(payload)
+    packets = [media[i : i + 188] for i in range(0, len(media), 188)]
+    twice = mpegts.demux(b"".join(packets[:9] + packets[8:]))
+    assert twice["payload"] == payload and twice["continuity_errors"] == 0 and not twice["damaged"]
+    thrice = mpegts.demux(b"".join(packets[:9] + [packets[8]] + packets[8:]))
+    assert thrice["continuity_errors"] == 1
+    table = mpegts.demux(media)["random_access"][1] - 2
+    wrong = bytearray(packets[table])
+    wrong[3] ^= 4
+    assert mpegts.demux(b"".join(packets[:table] + [bytes(wrong)] + packets[table + 1 :]))["continuity_errors"] == 1
+
+
 def test_mpegts_query(spark, tmp_path):
     path = str(tmp_path)
     docs(spark).write.parquet(f"{path}/documents.parquet")

