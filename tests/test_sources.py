@@ -26,6 +26,14 @@ def test_dirty_file(spark, tmp_path):
     assert ds.freq == 3_600_000_000 and ds.reference_power() == (3.0, "max")
 
 
+def test_quoted_line_breaks(spark, tmp_path):
+    path = tmp_path / "notes.csv"
+    path.write_text('notes\n\ntime,P,note\n2021-01-01 00:00,1,"first\nline, and ""second"""\n2021-01-01 01:00,2,plain\n\n2021-01-01 02:00,3,"a\nb\nc"\n', newline="")
+    ds = tables.load_table(spark, str(path), target="P")
+    rows = ds.df.orderBy("time").select("P", "note").collect()
+    assert [(r.P, r.note) for r in rows] == [(1.0, 'first\nline, and "second"'), (2.0, "plain"), (3.0, "a\nb\nc")]
+
+
 @pytest.mark.parametrize(("text", "want"), [("a,b\n1,2", ","), ("a;b\n1,5;2,5", ";"), ("a\tb\n1\t2", "\t"), ("a|b\n1|2", "|"), ("alone", ",")])
 def test_delimiters(text, want):
     assert tables.detect_delimiter(text) == want
@@ -46,7 +54,9 @@ def test_spec_round_trip(tmp_path):
     spec.to_yaml(path)
     assert StationSpec.load(str(path)) == spec == StationSpec.from_dict(spec.to_dict())
     assert spec.target == "P" and spec.features == ["D"] and spec.limits == {"P": (-50.0, None)} and spec.cyclic_columns == {"D": 360} and spec.label("P") == "P, MW"
-    for bad in ({"nme": 1}, {"columns": {"a": "target", "b": "target"}}, {"columns": {"a": {"rol": 1}}}, {"time": {"frq": 1}}, {"columns": {"a": "boss"}}):
+    assert spec.availability("P") == "history" and spec.availability("D") == "forecast" and spec.availability("Q") is None
+    assert StationSpec.from_dict({"columns": {"c": {"available": "always"}}}).to_dict() == {"columns": {"c": {"available": "always"}}}
+    for bad in ({"nme": 1}, {"columns": {"a": {"available": "nonsense"}}}, {"columns": {"a": "target", "b": "target"}}, {"columns": {"a": {"rol": 1}}}, {"time": {"frq": 1}}, {"columns": {"a": "boss"}}):
         with pytest.raises(ValueError):
             StationSpec.from_dict(bad)
 
