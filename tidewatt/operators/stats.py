@@ -112,10 +112,11 @@ def gapless(df: DataFrame, axis: Axis, c: str) -> DataFrame:
 def acf(df: DataFrame, axis: Axis, c: str, max_lag: int = 168) -> DataFrame:
     """``lag, acf`` for lags in rows from 0. The lagged values come from one pass over windows of the series."""
     rows = gapless(df, axis, c)
-    lags = F.array(*(F.col("v") * F.lag("v", k).over(axis.window()) for k in range(max_lag + 1)))
-    sums = rows.withColumn("lags", lags).select(*axis.keys, F.posexplode("lags").alias("lag", "p"), F.col("v"))
-    found = sums.groupBy(*axis.keys, "lag").agg(F.sum("p").alias("p"), F.sum(F.col("v") * F.col("v")).alias("q"), F.count("*").alias("n")).where("lag < n")
-    return found.select(*axis.keys, "lag", F.when(F.col("q") > 0, F.coalesce("p", F.lit(0.0)) / F.col("q")).otherwise(0.0).alias("acf"))
+    lagged = rows.select(*axis.keys, "v", *(F.lag("v", k).over(axis.window()).alias(f"v{k}") for k in range(max_lag + 1)))
+    # One row for each series, with a sum for each lag, is what gets unfolded.
+    sums = lagged.groupBy(*axis.keys).agg(F.count("*").alias("n"), F.array(*(F.coalesce(F.sum(F.col("v") * F.col(f"v{k}")), F.lit(0.0)) for k in range(max_lag + 1))).alias("p"))
+    found = sums.select(*axis.keys, "n", F.col("p")[0].alias("q"), F.posexplode("p").alias("lag", "p")).where("lag < n")
+    return found.select(*axis.keys, "lag", F.when(F.col("q") > 0, F.col("p") / F.col("q")).otherwise(0.0).alias("acf"))
 
 
 def spectrum(df: DataFrame, axis: Axis, c: str) -> DataFrame:

@@ -6,6 +6,7 @@ import copy
 import inspect
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..frame import Dataset
 from ..operators.splits import Split
@@ -122,3 +123,46 @@ class Pipeline(Step):
             out |= {f"{n}.{k}": v for k, v in s.get_report(df).items()}
             df = s.transform(df)
         return out
+
+
+class PerSeries(Step):
+    """Own steps for the series of a keyed frame: ``steps`` by the value of ``key``, and ``default`` for the others, or
+    None to leave them as they are. With ``strict`` series without steps are errors, as are steps without series.
+    Each step sees its series only; the parts are united again."""
+
+    def __init__(self, key: str, steps: dict, default: Step | None = None, strict: bool = False):
+        self.key, self.steps, self.default, self.strict = key, dict(steps), default, strict
+
+    @property
+    def stateless(self) -> bool:  # type: ignore[override]
+        return all(s.stateless for s in [*self.steps.values(), *([self.default] if self.default else [])])
+
+    def clone(self) -> "PerSeries":
+        return PerSeries(self.key, {k: s.clone() for k, s in self.steps.items()}, self.default and self.default.clone(), self.strict)
+
+    def _split(self, df: DataFrame) -> list[tuple[str, Step | None, DataFrame]]:
+        if self.key not in df.columns:
+            raise ValueError(f"no column {self.key!r} tells the series")
+        if self.strict:
+            found = {r[0] for r in df.select(self.key).distinct().collect()}
+            apart = found.symmetric_difference(self.steps) if self.default is None else self.steps.keys() - found
+            if apart:
+                raise KeyError(f"series and steps differ in {sorted(map(str, apart))}")
+        own = F.col(self.key).isin(list(self.steps))
+        rest = df.where(~F.coalesce(own, F.lit(False)))
+        return [(str(k), s, df.where(F.col(self.key) == k)) for k, s in self.steps.items()] + [("default", self.default, rest)]
+
+    def _fit(self, df: DataFrame) -> None:
+        for _, step, rows in self._split(df):
+            if step:
+                step.fit(rows)
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        out = None
+        for _, step, rows in self._split(df):
+            done = step.transform(rows) if step else rows
+            out = done if out is None else out.unionByName(done, allowMissingColumns=True)
+        return out
+
+    def _report(self, df: DataFrame) -> dict[str, DataFrame]:
+        return {f"{name}.{k}": v for name, step, rows in self._split(df) if step for k, v in step.get_report(rows).items()}

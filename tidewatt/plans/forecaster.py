@@ -281,8 +281,6 @@ class Forecaster:
         out.scaler = None if s["scaler"] is None else Scaler(**(s["scaler"] | {"exclude": tuple(s["scaler"]["exclude"]), "feature_range": tuple(s["scaler"]["feature_range"])}))
         out.transform = TargetTransform(**s["transform"])
         out.model.load(f"{path}/model")
-        if hasattr(out.model, "last") or hasattr(out.model, "best_step"):
-            out.model.last = out.model.fitted
         return out
 
 

@@ -12,6 +12,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, LinearRegres
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import seed
 from ..scratch import written
 
 MODELS: dict[str, type] = {}
@@ -100,7 +101,7 @@ class Forest(Model):
     reader = RandomForestRegressionModel
 
     def _estimator(self, train):
-        return RandomForestRegressor(numTrees=self.params.get("n_estimators", 100), maxDepth=self.params.get("max_depth", 8), seed=self.params.get("seed", 42))
+        return RandomForestRegressor(numTrees=self.params.get("n_estimators", 100), maxDepth=self.params.get("max_depth", 8), seed=self.params.get("seed", seed.current()))
 
 
 @register("gradient_boosting", "xgboost")
@@ -111,7 +112,7 @@ class Boosting(Model):
     reader = GBTRegressionModel
 
     def _estimator(self, train, n: int | None = None):
-        p = {"n_estimators": 60, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample": 0.8, "seed": 42} | self.params
+        p = {"n_estimators": 60, "learning_rate": 0.1, "max_depth": 5, "subsample": 0.8, "colsample": 0.8, "seed": seed.current()} | self.params
         return GBTRegressor(maxIter=n or p["n_estimators"], stepSize=p["learning_rate"], maxDepth=p["max_depth"], subsamplingRate=p["subsample"], featureSubsetStrategy=str(p["colsample"]), seed=p["seed"])
 
     def fit(self, train, val=None):
@@ -126,6 +127,23 @@ class Boosting(Model):
     def transform(self, df, weights="best"):
         return (self.fitted if weights == "best" else self.last).transform(df)
 
+    def save(self, path):
+        """Both the best and the last trees, and the history."""
+        from pyspark.sql import SparkSession
+
+        for name, trees in (("best", self.fitted), ("last", self.last)):
+            trees.write().overwrite().save(f"{path}/{name}")
+        text = json.dumps({"history": self.history, "best_step": self.best_step})
+        SparkSession.active().createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/about")
+
+    def load(self, path):
+        from pyspark.sql import SparkSession
+
+        self.fitted, self.last = self.reader.load(f"{path}/best"), self.reader.load(f"{path}/last")
+        about = json.loads(SparkSession.active().read.text(f"{path}/about").first().value)
+        self.history, self.best_step = about["history"], about["best_step"]
+        return self
+
 
 @register("knn")
 class Nearest(Model):
@@ -172,10 +190,12 @@ class Nearest(Model):
 class SparseGP(Model):
     """Gaussian process with inducing points and the collapsed bound (Titsias 2009). Only the sums K_uf K_fu and
     K_uf y over all rows are needed, which are added up on the executors; the m x m system is solved on the driver.
-    Inducing points are rows chosen by hash; length scales are the features' deviations times the root of their
+    Inducing points are rows chosen by hash: ``n_inducing`` of them, or ``inducing_fraction`` of the rows but at most
+    ``MOST``, for the driver solves a system of their number; length scales are the features' deviations times the root of their
     number, and the noise is re-estimated from the residuals."""
 
     distribution = True
+    MOST = 300
 
     def fit(self, train, val=None):
         rows = train.select(vector_to_array("features").alias("x"), F.col("label").cast("double").alias("y"))
@@ -183,7 +203,7 @@ class SparseGP(Model):
         d = len(rows.first().x)
         spread = rows.agg(*(F.stddev_pop(F.col("x")[i]) for i in range(d))).first()
         scale = np.array([s or 1.0 for s in spread]) * np.sqrt(d) * self.params.get("lengthscale", 1.0)
-        m = min(self.params.get("n_inducing") or max(10, int(n * self.params.get("inducing_fraction", 0.05))), 300)
+        m = self.params.get("n_inducing") or min(max(10, int(n * self.params.get("inducing_fraction", 0.05))), self.MOST)
         z = np.array([r.x for r in rows.select("x").distinct().orderBy(F.xxhash64("x")).limit(m).collect()]) / scale
         held = train.sparkSession.sparkContext.broadcast((z, scale))
 

@@ -7,17 +7,19 @@ largest value ``w`` of bins with two events or more, and the number of events ``
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import session
+from . import scratch, session
 from .axis import Axis
 from .functions.missing import is_missing
 from .operators import features, fills, merge, metrics, outliers, quality, runs, scaling, splits, stats, time_axis
 from .operators.rules import ColumnRules
 from .plans.cleaner import Cleaner
+from .sources import tables
 
 HOUR, TEN = 3_600_000_000, 600_000_000
 #: Added before rounding: the engines round ties differently, and means of short decimals are often ties.
@@ -492,9 +494,12 @@ def _(spark, d):
     return stats.acf(hourly(spark, d), AXIS, "v", 48)
 
 
-@query("spectrum")
+_CENTRED = neighbours("hourly", "v IS NULL", "i") + ", e AS (SELECT s, rn, coalesce(filled, last_value(filled IGNORE NULLS) OVER (PARTITION BY s ORDER BY rn), first_value(filled IGNORE NULLS) OVER (PARTITION BY s ORDER BY rn ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS x FROM i), c AS (SELECT s, rn - 1 AS t, x - avg(x) OVER (PARTITION BY s) AS x, count(*) OVER (PARTITION BY s) AS n FROM e)"
+
+
+@query("spectrum", "hourly", _CENTRED + ", k AS (SELECT DISTINCT s, n, unnest(range(1, n // 2 + 1)) AS k FROM (SELECT DISTINCT s, n FROM c)), w AS (SELECT s, k, any_value(c.n) AS n, sum(x * cos(2 * pi() * ((k * t) % c.n) / c.n)) AS a, sum(x * sin(2 * pi() * ((k * t) % c.n) / c.n)) AS b FROM c JOIN k USING (s) GROUP BY s, k) SELECT s, k / n AS frequency, n / k AS period_steps, n / k AS period_hours, round(a * a + b * b, 3) AS power FROM w", "frequency period_steps period_hours power")
 def _(spark, d):
-    return stats.spectrum(hourly(spark, d), AXIS, "v")
+    return stats.spectrum(hourly(spark, d), AXIS, "v").withColumn("power", F.round("power", 3))
 
 
 @query("histogram", "hourly", ", e AS (SELECT s, min(v) AS lo, max(v) AS hi FROM hourly GROUP BY s), p AS (SELECT s, lo, (hi - lo) / 20 AS step, CAST(least(floor((v - lo) / ((hi - lo) / 20)), 19) AS BIGINT) AS bin FROM hourly JOIN e USING (s) WHERE v IS NOT NULL) SELECT s, bin, lo + bin * step AS low, lo + (bin + 1) * step AS high, count(*) AS n FROM p GROUP BY s, bin, lo, step", "low high")
@@ -512,6 +517,44 @@ def _(spark, d):
     return stats.wind_rose(hourly(spark, d).withColumn("d", F.col("w") * 7), "v", "d", 16, [0.0, 40.0, 60.0, 100.0], ("s",))
 
 
+# ---- sources: an untidy file of daily orders, written to the shared folder
+def _untidy(spark, d) -> str:
+    """A file in cp1251 with remarks, semicolons, decimal commas, cells and times that can't be read, and lines out of order."""
+    rows = daily(spark, d).select("ts", F.date_format("ts", "dd.MM.yyyy HH:mm").alias("t"), F.format_string("%.6f", "price").alias("p"), F.col("orders").cast("long").cast("string").alias("o")).orderBy("ts").collect()  # one line for each day
+    lines = [(r.o, f"{'нет' if int(r.o) % 7 == 5 else r.t};{'сбой' if int(r.o) % 5 == 3 else r.p.replace('.', ',')};{r.o};день {r.ts:%j}") for r in rows]
+    text = "Станция;ПС-2\r\nвысота;12\r\n\r\nTIMESTAMP;PRICE;ORDERS;COMMENT\r\n" + "".join(f"{line}\r\n" for _, line in sorted(lines, key=lambda x: x[0]))
+    path = f"{scratch.shared_dir(spark)}/untidy-{uuid.uuid4().hex}.csv"
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+    out.write(bytearray(text.encode("cp1251")))
+    out.close()
+    return path
+
+
+_UNTIDY = ", u AS (SELECT ts, CASE WHEN CAST(orders AS BIGINT) % 5 <> 3 THEN price END AS price, orders, 'день ' || strftime(ts, '%j') AS comment, CAST(orders AS BIGINT) % 7 = 5 AS lost FROM daily)"
+
+
+@query("source_untidy", "daily", _UNTIDY + " SELECT ts, price, orders, comment FROM u WHERE NOT lost", "price orders")
+def _(spark, d):
+    found = tables.load_table(spark, _untidy(spark, d), target="PRICE", time_format="%d.%m.%Y %H:%M").df
+    return found.select(F.col("TIMESTAMP").alias("ts"), F.col("PRICE").cast("double").alias("price"), F.col("ORDERS").cast("double").alias("orders"), F.col("COMMENT").alias("comment"))
+
+
+@query("source_info", "daily", _UNTIDY + ", b AS (SELECT * FROM u WHERE NOT lost) SELECT (SELECT count(*) FROM u) AS rows_read, (SELECT count(*) FROM u WHERE lost) AS bad_timestamps, (SELECT count(*) FROM b) AS rows, (SELECT count(*) FROM b WHERE price IS NULL) AS bad_prices, 'PRICE' AS target, 'ORDERS' AS features, 'ignore' AS comment_role")
+def _(spark, d):
+    ds = tables.load_table(spark, _untidy(spark, d), target="PRICE")
+    i = ds.info
+    row = (i["rows_read"], i["bad_timestamps"], i["rows"], i["coercion_failures"].get("PRICE", 0), ds.target, ",".join(ds.features), ds.spec.columns["COMMENT"].role)
+    return spark.createDataFrame([row], "rows_read long, bad_timestamps long, rows long, bad_prices long, target string, features string, comment_role string")
+
+
+@query("source_preview", (), "SELECT * FROM (VALUES (0, 'Станция', 'ПС-2', false), (1, 'высота', '12', false), (2, '', '', false), (3, 'TIMESTAMP', 'PRICE', true)) t(row, first, second, header)")
+def _(spark, d):
+    rows, header = tables.raw_preview(spark, _untidy(spark, d), 4)
+    return spark.createDataFrame([(i, r[0], r[1], i == header) for i, r in enumerate(rows)], "row int, first string, second string, header boolean")
+
+
 # ---- splits
 def _parts(split):
     return split.train.withColumn("part", F.lit("train")).unionByName(split.val.withColumn("part", F.lit("val"))).unionByName(split.test.withColumn("part", F.lit("test")))
@@ -525,6 +568,11 @@ def _(spark, d):
     return _parts(splits.split_by_time(hourly(spark, d).select("s", "ts", "v"), AXIS, "5D", "2D"))
 
 
+@query("split_count", "hourly", ", r AS (SELECT ts, dense_rank() OVER (ORDER BY ts DESC) AS k FROM (SELECT DISTINCT ts FROM hourly)) SELECT s, ts, CASE WHEN k <= 24 THEN 'test' WHEN k <= 36 THEN 'val' ELSE 'train' END AS part FROM hourly JOIN r USING (ts)")
+def _(spark, d):
+    return _parts(splits.split_by_time(hourly(spark, d).select("s", "ts"), AXIS, 24, 12))
+
+
 @query("split_date", "hourly", "SELECT s, ts, v, CASE WHEN ts >= TIMESTAMP '2024-01-25' THEN 'test' WHEN ts >= TIMESTAMP '2024-01-20' THEN 'val' ELSE 'train' END AS part FROM hourly", "v")
 def _(spark, d):
     return _parts(splits.split_by_time(hourly(spark, d).select("s", "ts", "v"), AXIS, "2024-01-25", "2024-01-20"))

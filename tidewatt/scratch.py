@@ -13,10 +13,13 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where it is unset (local tests) one of our own."""
+    """The folder in spark.checkpoint.dir; where it is unset, one of our own in local mode and an error on a cluster, whose
+    executors would each write to their own disk."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tidewatt-"))
         atexit.register(shutil.rmtree, _own[0], True)
