@@ -72,7 +72,14 @@ def _signed(b: pa.RecordBatch) -> list:
     sets = shingles(b.column("text"))
     names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
     prints = np.array([fingerprint(t, WORDS) for t in texts(b)], np.uint64).view(np.int64)
-    return [names, prints, _lists(sets), _lists(band_keys(sets))]
+    return [names, prints, _lists(band_keys(sets))]
+
+
+def _body(b: pa.RecordBatch) -> list:
+    """Whether a text has the set it is taken for, which rows that share an id need not, and the set."""
+    sets = shingles(b.column("text"))
+    names = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+    return [names == b.column("set").to_numpy(), _lists(sets)]
 
 
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
@@ -161,22 +168,22 @@ def _forests(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def near_links(marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the sets of ``marked(doc_id, set, shingles, keys)``, enough to connect all candidates that are
-    similar, as a written table."""
-    keyed = marked.select("set", F.explode("keys").alias("key")).repartition("key").groupBy("key", "set").agg(F.lit(1).alias("one")).drop("one")
+def near_links(rows: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the sets of ``marked(doc_id, set, keys)``, enough to connect all candidates that are similar, as a
+    written table. Only sets that share a shard are taken again from the texts of ``rows``."""
+    keyed = marked.select("set", F.explode("keys").alias("key")).groupBy("key", "set").agg(F.lit(1).alias("one")).drop("one")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("same")).where("n > 1")
     buckets = scratch.written(shared.groupBy("n", "same").agg(F.min("key").alias("key")), "similar-buckets")
     members = scratch.written(keyed.join(buckets.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "key"), "similar-members")
-    first = members.select("set").distinct().join(nodes, "set").withColumnRenamed("first", "doc_id")
-    bodies = marked.select("doc_id", "set", "fp", "shingles").join(first, ["set", "doc_id"]).groupBy("set")
-    bodies = scratch.written(bodies.agg(F.min(F.struct("fp", "shingles")).alias("body")).select("set", "body.*"), "similar-bodies")
+    first = scratch.written(members.select("set").distinct().join(nodes, "set").withColumnRenamed("first", "doc_id"), "similar-first")
+    made = map_batches(rows.join(first, "doc_id"), _body, [("own", T.BooleanType()), ("shingles", T.ArrayType(T.LongType()))], keep=["set", "fp"])
+    bodies = scratch.written(made.where("own").drop("own"), "similar-bodies")
     mine, last = F.pmod(F.xxhash64("set"), "parts").cast("int"), F.col("parts") - 1
     dealt = members.select("key", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
     dealt = dealt.select("key", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "set").join(bodies, "set")
     order = ["key", "part", "other"]
     links = scratch.written(_forests(dealt.select(*order, "set", "fp", "shingles").repartition(*order).sortWithinPartitions(*order)), "similar-links")
-    for done in (buckets, members, bodies):
+    for done in (buckets, members, first, bodies):
         scratch.discard(done)
     return links
 
@@ -185,13 +192,14 @@ def first_ids(docs: DataFrame) -> DataFrame:
     """``doc_id``: the smallest id of each component of similar documents."""
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
-    numbers = T.ArrayType(T.LongType())
-    marked = scratch.written(map_batches(rows, _signed, [("set", T.LongType()), ("fp", T.LongType()), ("shingles", numbers), ("keys", numbers)], keep=["doc_id"]), "similar")
-    nodes = scratch.written(marked.groupBy("set").agg(F.min("doc_id").alias("first")), "similar-nodes")
-    labels = components(near_links(marked, nodes)).withColumnRenamed("node", "set")
+    fields = [("set", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
+    marked = scratch.written(map_batches(rows, _signed, fields, keep=["doc_id"]), "similar")
+    nodes = marked.groupBy("set").agg(F.min(F.struct("doc_id", "fp")).alias("node")).select("set", F.col("node.doc_id").alias("first"), "node.fp")
+    nodes = scratch.written(nodes, "similar-nodes")
+    labels = components(near_links(rows, marked, nodes)).withColumnRenamed("node", "set")
     named = nodes.join(labels, "set", "left").groupBy(F.coalesce("label", "set").alias("label")).agg(F.min("first").alias("doc_id"))
     found = scratch.written(named.select("doc_id").distinct(), "similar-firsts")
-    scratch.discard(marked)  # the shingles take as much room as the texts
+    scratch.discard(marked)
     return found
 
 
