@@ -168,14 +168,14 @@ def _forests(members: DataFrame) -> DataFrame:
     return members.mapInArrow(run, "a long, b long")
 
 
-def near_links(rows: DataFrame, marked: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Links between the sets of ``marked(doc_id, set, keys)``, enough to connect all candidates that are similar, as a
-    written table. Only sets that share a shard are taken again from the texts of ``rows``."""
-    keyed = marked.select("set", F.explode("keys").alias("key")).groupBy("key", "set").agg(F.lit(1).alias("one")).drop("one")
+def near_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links between the sets of ``nodes(set, first, fp, keys)``, each set once, enough to connect all candidates that are
+    similar, as a written table. Only sets that share a shard are taken again from the texts of ``rows``."""
+    keyed = nodes.select("set", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("same")).where("n > 1")
     buckets = scratch.written(shared.groupBy("n", "same").agg(F.min("key").alias("key")), "similar-buckets")
     members = scratch.written(keyed.join(buckets.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "key"), "similar-members")
-    first = scratch.written(members.select("set").distinct().join(nodes, "set").withColumnRenamed("first", "doc_id"), "similar-first")
+    first = scratch.written(members.select("set").distinct().join(nodes.select("set", "fp", F.col("first").alias("doc_id")), "set"), "similar-first")
     made = map_batches(rows.join(first, "doc_id"), _body, [("own", T.BooleanType()), ("shingles", T.ArrayType(T.LongType()))], keep=["set", "fp"])
     bodies = scratch.written(made.where("own").drop("own"), "similar-bodies")
     mine, last = F.pmod(F.xxhash64("set"), "parts").cast("int"), F.col("parts") - 1
@@ -193,13 +193,13 @@ def first_ids(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
     rows = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull())
     fields = [("set", T.LongType()), ("fp", T.LongType()), ("keys", T.ArrayType(T.LongType()))]
-    marked = scratch.written(map_batches(rows, _signed, fields, keep=["doc_id"]), "similar")
-    nodes = marked.groupBy("set").agg(F.min(F.struct("doc_id", "fp")).alias("node")).select("set", F.col("node.doc_id").alias("first"), "node.fp")
-    nodes = scratch.written(nodes, "similar-nodes")
-    labels = components(near_links(rows, marked, nodes)).withColumnRenamed("node", "set")
-    named = nodes.join(labels, "set", "left").groupBy(F.coalesce("label", "set").alias("label")).agg(F.min("first").alias("doc_id"))
+    marked = map_batches(rows, _signed, fields, keep=["doc_id"])
+    nodes = marked.groupBy("set").agg(F.min(F.struct("doc_id", "fp", "keys")).alias("node"))
+    nodes = scratch.written(nodes.select("set", F.col("node.doc_id").alias("first"), "node.fp", "node.keys"), "similar-nodes")
+    labels = components(near_links(rows, nodes)).withColumnRenamed("node", "set")
+    named = nodes.select("set", "first").join(labels, "set", "left").groupBy(F.coalesce("label", "set").alias("label")).agg(F.min("first").alias("doc_id"))
     found = scratch.written(named.select("doc_id").distinct(), "similar-firsts")
-    scratch.discard(marked)
+    scratch.discard(nodes)
     return found
 
 
