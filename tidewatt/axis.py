@@ -28,11 +28,13 @@ def micros(duration: str | timedelta | float) -> int:
 @dataclass(frozen=True)
 class Axis:
     """Rows are ordered by ``ts`` within each combination of ``keys``; ``order`` breaks ties, for Spark has no
-    stable sort. Without keys a window has all rows in one task, so large tables should have keys."""
+    stable sort. A series is the unit of a task unless ``chunk``, a duration, cuts it in stretches that are (see
+    ``chunks``); without keys or chunks a window has all rows in one task. Rows of one time need ``order`` then."""
 
     ts: str = "ts"
     keys: tuple[str, ...] = ()
     order: str | None = None
+    chunk: str | int | None = None
 
     def sorting(self, reverse: bool = False) -> list[Column]:
         cols = [F.col(c) for c in (self.ts, self.order) if c]

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import chunks
 from ..axis import Axis
 from ..functions.missing import is_missing, is_zero, number
 from .rules import ColumnRules
@@ -67,12 +68,11 @@ def dropped_runs(df: DataFrame, axis: Axis, rules: dict[str, ColumnRules], scope
 def interpolated(df: DataFrame, axis: Axis, positions: dict[str, Column], method: str = "linear") -> DataFrame:
     """Replace the values at ``positions`` by interpolation between the nearest known values."""
     at = axis.micros() if method == "time" else F.col("__rn")
-    df = axis.positions(df).withColumn("__at", at)
+    df = chunks.positions(df, axis).withColumn("__at", at)
     df = df.withColumns({f"{c}__pos": F.coalesce(p, F.lit(False)) for c, p in positions.items()})
     known = {c: F.when(~F.col(f"{c}__pos"), number(c)) for c in positions}
     point = {c: F.when(k.isNotNull(), F.struct(k.alias("v"), F.col("__at").alias("at"))) for c, k in known.items()}
-    df = df.withColumns({f"{c}__prev": F.last(p, ignorenulls=True).over(axis.window()) for c, p in point.items()})
-    df = df.withColumns({f"{c}__next": F.last(p, ignorenulls=True).over(axis.reverse()) for c, p in point.items()})
+    df = chunks.known(df, axis, {f"{c}__prev": p for c, p in point.items()}, {f"{c}__next": p for c, p in point.items()})
 
     def between(c: str) -> Column:
         p, n = F.col(f"{c}__prev"), F.col(f"{c}__next")
@@ -84,8 +84,9 @@ def interpolated(df: DataFrame, axis: Axis, positions: dict[str, Column], method
 
 def carried(df: DataFrame, axis: Axis, positions: dict[str, Column], backwards: bool = False) -> DataFrame:
     """Replace the values at ``positions`` by the last known value before them, or the next one after."""
-    window = axis.reverse() if backwards else axis.window()
-    return df.withColumns({c: F.when(p, F.last(F.when(~F.coalesce(p, F.lit(False)), number(c)), ignorenulls=True).over(window)).otherwise(number(c)) for c, p in positions.items()})
+    values = {f"{c}__near": F.when(~F.coalesce(p, F.lit(False)), number(c)) for c, p in positions.items()}
+    df = chunks.known(df, axis, **{"back" if backwards else "ahead": values})
+    return df.withColumns({c: F.when(p, F.col(f"{c}__near")).otherwise(number(c)) for c, p in positions.items()}).drop(*values)
 
 
 def filled(df: DataFrame, axis: Axis, rules: dict[str, ColumnRules], extra: dict[str, Column] | None = None, method: str = "linear", keep_plan: bool = False) -> DataFrame:

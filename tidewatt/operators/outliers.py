@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import chunks
 from ..axis import Axis
 from ..functions.missing import number, numeric_columns
 from .fills import interpolated
@@ -42,7 +43,8 @@ def make_detector(name: str, params: dict | None = None):
 @dataclass(frozen=True)
 class Detector:
     """``fit`` gets the values to use (null elsewhere) and the axis; ``flag`` those and a getter of fitted values;
-    ``stages`` are columns that need windows of their own before ``flag``, evaluated one after another."""
+    ``stages`` are columns that need windows of their own before ``flag``, evaluated one after another; ``reach`` is how
+    many rows before and after a row all of them and ``flag`` look at."""
 
     def fit(self, value: Column, step: Column) -> dict[str, Column]:
         return {}
@@ -50,6 +52,9 @@ class Detector:
     def stages(self, x: str, axis: Axis) -> list[dict[str, Callable[[str], Column]]]:
         return []
 
+    def reach(self) -> int:
+        return 0
+
     def flag(self, x: str, axis: Axis, fitted: Callable[[str], Column]) -> Column:
         raise NotImplementedError
 
@@ -119,6 +124,9 @@ class Hampel(Detector):
     exclude_zeros: bool = True
     min_periods: int | None = None
 
+    def reach(self):
+        return 2 * (self.window // 2)
+
     def stages(self, x, axis):
         w, least = _centred(axis, self.window), self.min_periods or max(10, self.window // 3)
         v = _nonzero(F.col(x), self.exclude_zeros)
@@ -138,6 +146,9 @@ class RollingMedian(Detector):
     window: int = 24
     threshold: float = 3.0
 
+    def reach(self):
+        return self.window // 2
+
     def stages(self, x, axis):
         w, least = _centred(axis, self.window), max(3, self.window // 3)
         v = F.col(x)
@@ -153,6 +164,9 @@ class Diff(Detector):
     threshold: float = 4.0
     abs_threshold: float | None = None
 
+    def reach(self):
+        return 1
+
     def fit(self, value, step):
         moved = F.when(step != 0, step)
         return {} if self.abs_threshold is not None else {"step": F.stddev_pop(moved)}
@@ -207,9 +221,9 @@ class OutlierProcessor:
 
     def fit(self, df: DataFrame) -> "OutlierProcessor":
         self.used = self._used(df)
-        w = self.axis.window()
         rows = df.select(*self.axis.keys, self.axis.ts, *([self.axis.order] if self.axis.order else []), *(self._value(c).alias(f"{c}__x") for c in self.used))
-        rows = rows.withColumns({f"{c}__step": F.col(f"{c}__x") - F.lag(f"{c}__x").over(w) for c in self.used if "diff" in self.detectors}) if "diff" in self.detectors else rows
+        if "diff" in self.detectors:
+            rows = chunks.by_rows(rows, self.axis, lambda r, ax: r.withColumns({f"{c}__step": F.col(f"{c}__x") - F.lag(f"{c}__x").over(ax.window()) for c in self.used}), 1)
         aggs = [e.alias(f"{c}__{n}__{k}") for c in self.used for n, d in self._of(c).items() for k, e in d.fit(F.col(f"{c}__x"), F.col(f"{c}__step") if "diff" in self.detectors else F.lit(0.0)).items()]
         self.fitted = rows.groupBy(*self.axis.keys).agg(*aggs) if aggs else None
         return self
@@ -223,12 +237,17 @@ class OutlierProcessor:
         """``df`` with the fitted values and a flag ``{c}__{detector}`` for each, and ``{c}__applied``."""
         cols = [c for c in self.used if c in df.columns]
         df = self._with_fitted(df).withColumns({f"{c}__x": self._value(c) for c in cols}) if cols else df
-        stages = [(f"{c}__{n}__", s) for c in cols for n, d in self._of(c).items() for s in enumerate(d.stages(f"{c}__x", self.axis))]
-        for depth in range(1 + max((i for _, (i, _) in stages), default=-1)):
-            df = df.withColumns({f"{p}{k}": e(p) for p, (i, s) in stages if i == depth for k, e in s.items()})
         get = lambda c, n: lambda k: F.col(f"{c}__{n}__{k}")
-        flags = {f"{c}__{n}": F.coalesce(F.col(f"{c}__x").isNotNull() & d.flag(f"{c}__x", self.axis, get(c, n)), F.lit(False)) for c in cols for n, d in self._of(c).items()}
-        df = df.withColumns(flags) if flags else df
+
+        def judged(rows: DataFrame, ax: Axis) -> DataFrame:
+            stages = [(f"{c}__{n}__", s) for c in cols for n, d in self._of(c).items() for s in enumerate(d.stages(f"{c}__x", ax))]
+            for depth in range(1 + max((i for _, (i, _) in stages), default=-1)):
+                rows = rows.withColumns({f"{p}{k}": e(p) for p, (i, s) in stages if i == depth for k, e in s.items()})
+            flags = {f"{c}__{n}": F.coalesce(F.col(f"{c}__x").isNotNull() & d.flag(f"{c}__x", ax, get(c, n)), F.lit(False)) for c in cols for n, d in self._of(c).items()}
+            return rows.withColumns(flags) if flags else rows
+
+        reach = max((d.reach() for c in cols for d in self._of(c).values()), default=0)
+        df = chunks.by_rows(df, self.axis, judged, reach, reach) if reach else judged(df, self.axis)
         applied = {f"{c}__applied": F.greatest(F.lit(False), *(F.col(f"{c}__{n}") for n in self._of(c) if n in self.apply or n == "physical"), F.lit(False)) for c in cols}
         return (df.withColumns(applied) if applied else df), cols
 

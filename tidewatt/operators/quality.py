@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import chunks
 from ..axis import Axis
 from ..functions.missing import is_missing, is_zero, missing_flag, number
 from .runs import with_runs
@@ -64,7 +65,11 @@ def removed_periods(df: DataFrame, axis: Axis, drop: Column, reasons: dict[str,
 
 def missing_map(df: DataFrame, axis: Axis, columns, buckets: int = 240, nan: bool = True, zeros: bool = False) -> DataFrame:
     """Share of missing values in slices of equally many rows, each named by its first timestamp."""
-    rows = axis.positions(df).withColumn("__n", F.count("*").over(axis.whole()))
+    rows = chunks.positions(df, axis)
+    if axis.chunk:
+        rows = chunks.beside(rows, rows.groupBy(*axis.keys).agg(F.count("*").alias("__n")), axis.keys)
+    else:
+        rows = rows.withColumn("__n", F.count("*").over(axis.whole()))
     count = F.least(F.lit(max(1, int(buckets))).cast("long"), F.col("__n"))
     rows = rows.withColumn("bucket", F.floor((F.col("__rn") * count - 1) / F.col("__n")).cast("long"))
     shares = [F.avg(missing_flag(c, nan, zeros).cast("double")).alias(c) for c in columns]

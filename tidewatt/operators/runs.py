@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import chunks
 from ..axis import Axis
 
 
@@ -14,6 +15,9 @@ def with_runs(df: DataFrame, axis: Axis, kinds: dict[str, Column]) -> DataFrame:
 
     Starts come from one window forwards and ends from one backwards, whatever the number of columns.
     """
+    if axis.chunk:
+        cut, inner = chunks.split(df, axis)
+        return chunks.joined_runs(with_runs(cut, inner, kinds), axis, inner, list(kinds))
     df = axis.positions(df.withColumns({f"{n}__kind": k for n, k in kinds.items()}))
     ahead, back = axis.window(), axis.reverse()
     edges = {}

@@ -8,6 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import chunks
 from ..axis import Axis
 from ..functions.calendar import wind_sector
 from ..functions.missing import number
@@ -104,15 +105,18 @@ def target_correlation(df: DataFrame, columns, target: str, method: str = "pears
 def gapless(df: DataFrame, axis: Axis, c: str) -> DataFrame:
     """Keys, position and ``v``: a column interpolated by position, with the nearest value at the edges, less its mean."""
     rows = interpolated(df.select(*axis.keys, axis.ts, F.col(c).alias("v")), axis, {"v": number("v").isNull()})
-    rows = rows.withColumn("v", F.coalesce("v", F.last("v", ignorenulls=True).over(axis.window()), F.last("v", ignorenulls=True).over(axis.reverse())))
-    rows = axis.positions(rows)
+    rows = chunks.known(rows, axis, {"__before": F.col("v")}, {"__after": F.col("v")})
+    rows = chunks.positions(rows.withColumn("v", F.coalesce("v", "__before", "__after")).drop("__before", "__after"), axis)
+    if axis.chunk:
+        rows = chunks.beside(rows, rows.groupBy(*axis.keys).agg(F.avg("v").alias("__mean")), axis.keys)
+        return rows.select(*axis.keys, axis.ts, "__rn", (F.col("v") - F.col("__mean")).alias("v"))
     return rows.select(*axis.keys, axis.ts, "__rn", (F.col("v") - F.avg("v").over(axis.whole())).alias("v"))
 
 
 def acf(df: DataFrame, axis: Axis, c: str, max_lag: int = 168) -> DataFrame:
     """``lag, acf`` for lags in rows from 0. The lagged values come from one pass over windows of the series."""
     rows = gapless(df, axis, c)
-    lagged = rows.select(*axis.keys, "v", *(F.lag("v", k).over(axis.window()).alias(f"v{k}") for k in range(max_lag + 1)))
+    lagged = chunks.by_rows(rows, axis, lambda r, ax: r.withColumns({f"v{k}": F.lag("v", k).over(ax.window()) for k in range(max_lag + 1)}), max_lag)
     # One row for each series, with a sum for each lag, is what gets unfolded.
     sums = lagged.groupBy(*axis.keys).agg(F.count("*").alias("n"), F.array(*(F.coalesce(F.sum(F.col("v") * F.col(f"v{k}")), F.lit(0.0)) for k in range(max_lag + 1))).alias("p"))
     found = sums.select(*axis.keys, "n", F.col("p")[0].alias("q"), F.posexplode("p").alias("lag", "p")).where("lag < n")

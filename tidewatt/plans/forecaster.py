@@ -275,7 +275,7 @@ class Forecaster:
     @classmethod
     def load(cls, path: str, spark) -> "Forecaster":
         s = json.loads(spark.read.text(f"{path}/state").first().value)
-        axis = Axis(s["axis"]["ts"], tuple(s["axis"]["keys"]), s["axis"]["order"])
+        axis = Axis(s["axis"]["ts"], tuple(s["axis"]["keys"]), s["axis"]["order"], s["axis"].get("chunk"))
         out = cls(s["model"], axis, spec=s["spec"], model_params=s["model_params"], **s["options"])
         out.target_, out.inputs, out.step, out.periods, out.feature_names = s["target"], s["inputs"], s["step"], s["periods"], s["features"]
         out.scaler = None if s["scaler"] is None else Scaler(**(s["scaler"] | {"exclude": tuple(s["scaler"]["exclude"]), "feature_range": tuple(s["scaler"]["feature_range"])}))
