@@ -36,7 +36,7 @@ def _any(words: tuple[str, ...], between: str = "") -> re.Pattern:
 
 _RAW, _ESCAPED, _MARK = _any(CONTROL, "~*"), _any(CONTROL, "~+"), _any(MARKS)
 SCHEMA = "conv_id long, n_turns long, formatted string, input_ids array<int>, token_start array<int>, token_end array<int>, loss_mask array<boolean>"
-#: Characters that are encoded at once.
+#: Characters of a batch of conversations.
 ENCODE_CHARS = 1 << 20
 
 
@@ -126,7 +126,7 @@ def format_conversations(conversations: DataFrame, tokenizer_path: str) -> DataF
 
     def encoded(held: list[tuple], tokenizer) -> pa.RecordBatch:
         out: list[list] = [[] for _ in range(7)]
-        for (key, n, text, spans), e in zip(held, tokenizer.encode_batch([h[2] for h in held], add_special_tokens=False), strict=True):
+        for (key, n, text, spans), e in zip(held, (tokenizer.encode(h[2], add_special_tokens=False) for h in held), strict=True):  # tasks have a core each, threads would contend
             at = np.fromiter(itertools.chain.from_iterable(e.offsets), np.int32).reshape(-1, 2)
             for to, x in zip(out, (key, n, text, np.array(e.ids, np.int32), at[:, 0], at[:, 1], loss_mask(spans, at[:, 0], at[:, 1])), strict=True):
                 to.append(x)
