@@ -170,17 +170,18 @@ def _forests(members: DataFrame) -> DataFrame:
 
 def near_links(rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links between the sets of ``nodes(set, first, fp, keys)``, each set once, enough to connect all candidates that are
-    similar, as a written table. Only sets that share a shard are taken again from the texts of ``rows``."""
+    similar, as a written table. Only sets that share a shard are taken again from the texts of ``rows``. Joins with texts and
+    sets are hashed by partition at every size, so the plan of a small table is that of a large one."""
     keyed = nodes.select("set", F.explode("keys").alias("key")).repartition("key")
     shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("set")).alias("same")).where("n > 1")
     buckets = scratch.written(shared.groupBy("n", "same").agg(F.min("key").alias("key")), "similar-buckets")
     members = scratch.written(keyed.join(buckets.select("key", F.ceil(F.col("n") / PART).cast("int").alias("parts")), "key"), "similar-members")
     first = scratch.written(members.select("set").distinct().join(nodes.select("set", "fp", F.col("first").alias("doc_id")), "set"), "similar-first")
-    made = map_batches(rows.join(first, "doc_id"), _body, [("own", T.BooleanType()), ("shingles", T.ArrayType(T.LongType()))], keep=["set", "fp"])
+    made = map_batches(rows.join(first.hint("shuffle_hash"), "doc_id"), _body, [("own", T.BooleanType()), ("shingles", T.ArrayType(T.LongType()))], keep=["set", "fp"])
     bodies = scratch.written(made.where("own").drop("own"), "similar-bodies")
     mine, last = F.pmod(F.xxhash64("set"), "parts").cast("int"), F.col("parts") - 1
     dealt = members.select("key", "set", mine.alias("mine"), F.explode(F.sequence(F.lit(0), last)).alias("with"))
-    dealt = dealt.select("key", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "set").join(bodies, "set")
+    dealt = dealt.select("key", F.least("mine", "with").alias("part"), F.greatest("mine", "with").alias("other"), "set").hint("shuffle_hash").join(bodies, "set")
     order = ["key", "part", "other"]
     links = scratch.written(_forests(dealt.select(*order, "set", "fp", "shingles").repartition(*order).sortWithinPartitions(*order)), "similar-links")
     for done in (buckets, members, first, bodies):
@@ -205,5 +206,5 @@ def first_ids(docs: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """Of each component of similar documents only the row with the smallest id; rows without an id stay."""
-    kept = docs.join(first_ids(docs), "doc_id", "left_semi").select(docs.columns)
+    kept = docs.join(first_ids(docs).hint("shuffle_hash"), "doc_id", "left_semi").select(docs.columns)
     return kept.unionByName(docs.where(F.col("doc_id").isNull()))
