@@ -28,7 +28,7 @@ def test_time_column_whose_first_values_cannot_be_read(spark):
     assert tables.find_time(df.select("n")) is None and tables.find_time(df.limit(90)) is None
 
 
-@pytest.mark.parametrize("name", ["source_info", "source_preview"])
+@pytest.mark.parametrize("name", ["source_untidy", "source_info", "source_preview"])
 def test_six_times_the_orders(spark, tmp_path, name):
     for t in os.listdir(SF):
         if t != "orders.parquet":
