@@ -3,9 +3,10 @@
 The model's protobuf is parsed here; its normaliser, white-space marker, scores (as a unigram model, or as the
 merges that the scores of a BPE model stand for) and byte fallback are rebuilt with the library. Where no
 piece has the marker after another character, text is encoded by the runs between markers, which are encoded
-once in multithreaded batches and remembered; else whole texts are encoded. ``parity`` says whether the
+once in batches and remembered; else whole texts are encoded. ``parity`` says whether the
 SentencePiece library finds the same ids: by runs, each distinct run is compared when it is learned and a row has
-parity if all of its runs have; else whole rows are compared.
+parity if all of its runs have; else whole rows are compared. A distinct run's ids are decoded then too: a row whose
+runs all come back is what they make up, any other is decoded as a whole.
 
 Null and empty texts have no ids. Rows are handled one by one, so repeated rows, ties and empty tables need no
 care; existing columns with an output's name are replaced, all others are kept.
@@ -132,8 +133,10 @@ class Codec:
         self.plain = m.escape_spaces and not m.charsmap and not m.trim_spaces
         self.compares_runs = self.by_runs and self.plain and m.dummy_prefix
         self.known: dict[str, bytes] = {}
-        #: With ``theirs``, the SentencePiece library's model, runs whose ids differ.
-        self.theirs, self.unlike = None, set()
+        #: With ``theirs``, the SentencePiece library's model, runs whose ids differ, and runs that ids don't bring back.
+        self.theirs, self.unlike, self.odd = None, set(), set()
+        self.marked = np.array([p.startswith(MARK) for p, _, _ in m.pieces])
+        self.letter = self.tokenizer.encode(MARK + "a", add_special_tokens=False).ids
 
     @classmethod
     @functools.cache
@@ -151,6 +154,13 @@ class Codec:
         codec.theirs = sentencepiece.SentencePieceProcessor(model_file=path)
         return codec
 
+    def _compare_joined(self, part: list[str], ids: np.ndarray) -> bool:
+        """Whether both libraries agree on runs with one mark each, joined, and their ids, after a letter's, bring them back.
+        Only the runs' first ids are marked, so what is equal joined is equal by runs."""
+        body = "".join(part).replace(MARK, " ")
+        theirs = np.array(self.theirs.encode(body[1:]), "<u4")  # the library puts a mark before a text
+        return np.array_equal(theirs, ids) and self.tokenizer.decode(self.letter + ids.tolist(), skip_special_tokens=False) == "a" + body
+
     def _compare(self, new: list[str]) -> None:
         """The library puts a mark before a text, so a run goes without its first; runs of marks alone follow a letter."""
         bare = [r for r in new if not r.strip(MARK)]
@@ -163,6 +173,9 @@ class Codec:
             found = self.theirs.encode("a" + r.replace(MARK, " "))
             if found[: len(letter)] != letter or np.array(found[len(letter) :], "<u4").tobytes() != self.known[r]:
                 self.unlike.add(r)
+        for part in (new[a : a + AT_ONCE] for a in range(0, len(new), AT_ONCE)):
+            back = self.tokenizer.decode_batch([self.letter + np.frombuffer(self.known[r], "<u4").tolist() for r in part], skip_special_tokens=False)
+            self.odd.update(r for r, x in zip(part, back, strict=True) if x != "a" + r.replace(MARK, " "))
 
     def parity(self, bodies: list[str], runs: list[list[str]], ids: list[np.ndarray]) -> list[bool]:
         if self.compares_runs:
@@ -176,17 +189,27 @@ class Codec:
         return self.normalizer.normalize_str(text) if text else ""
 
     def _learn(self, new: list[str]) -> None:
-        """Runs that end with another character stay apart when joined, and are told apart by their offsets."""
-        apart = [r for r in new if r[-1] == MARK or r[0] != MARK] if self.by_runs else new
-        joined = [r for r in new if r[-1] != MARK and r[0] == MARK] if self.by_runs else []
+        """Runs with one mark, before other characters, stay apart when joined, and are told apart by their first ids."""
+        compares = self.theirs and self.compares_runs
+        joined, apart = [], [] if self.by_runs else new
+        for r in new if self.by_runs else []:
+            (joined if r[0] == MARK and r[-1] != MARK and r.count(MARK) == 1 else apart).append(r)
         parts = [joined[a : a + AT_ONCE] for a in range(0, len(joined), AT_ONCE)]
-        for part, e in zip(parts, self.tokenizer.encode_batch(["".join(p) for p in parts], add_special_tokens=False), strict=True):
-            raw, starts = np.array(e.ids, "<u4").tobytes(), np.array(e.offsets, np.int64).reshape(-1, 2)[:, 0]
-            ends = (4 * np.searchsorted(starts, np.cumsum([len(r) for r in part]))).tolist()
-            self.known.update((r, raw[a:z]) for r, a, z in zip(part, [0, *ends], ends, strict=False))
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            starts = np.flatnonzero(self.marked[ids])
+            if len(starts) != len(part):  # the model has no piece for the mark
+                apart += part
+                continue
+            raw, ends = ids.tobytes(), [*(4 * starts[1:]).tolist(), 4 * len(ids)]
+            self.known.update((r, raw[a:z]) for r, a, z in zip(part, [0, *ends[:-1]], ends, strict=True))
+            if compares and not self._compare_joined(part, ids):
+                self._compare(part)
         for a in range(0, len(apart), AT_ONCE):
             part = apart[a : a + AT_ONCE]
             self.known.update((r, np.array(e.ids, "<u4").tobytes()) for r, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True))
+        if compares and apart:
+            self._compare(apart)
 
     def runs(self, bodies: list[str]) -> list[list[str]]:
         return [self.run.findall(self.normalize(t)) for t in bodies]
@@ -196,15 +219,21 @@ class Codec:
         if len(self.known) > REMEMBERED or not self.by_runs:
             self.known.clear()
             self.unlike.clear()
-        new = [r for r in set().union(*runs) if r not in self.known]
-        self._learn(new)
-        if self.theirs and self.compares_runs:
-            self._compare(new)
+            self.odd.clear()
+        self._learn(list(set().union(*runs).difference(self.known)))
         return [np.frombuffer(b"".join(map(self.known.__getitem__, r)), "<u4") for r in runs]
 
     def decode(self, ids: list[np.ndarray]) -> list[str]:
         return self.tokenizer.decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
 
+    def decoded(self, runs: list[list[str]], ids: list[np.ndarray]) -> list[str]:
+        """``decode`` of rows that have just been encoded and compared: those without odd runs are the runs after the first mark."""
+        if not (self.theirs and self.compares_runs):
+            return self.decode(ids)
+        whole = [bool(self.odd) and not self.odd.isdisjoint(r) for r in runs]
+        back = iter(self.decode([x for x, w in zip(ids, whole, strict=True) if w]) if any(whole) else ())
+        return [next(back) if w else "".join(r)[1:].replace(MARK, " ") for r, w in zip(runs, whole, strict=True)]
+
 
 def encode(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
     """Add ``ids``."""
@@ -240,7 +269,7 @@ def check(df: DataFrame, model_path: str, text: str = "text") -> DataFrame:
         bodies = texts(b, text)
         runs = held[0].runs(bodies)
         ids = held[0].encode(bodies, runs)
-        return [[len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids], held[0].decode(ids), held[0].parity(bodies, runs, ids)]
+        return [[len(x) for x in ids], [zlib.crc32(x.tobytes()) for x in ids], held[0].decoded(runs, ids), held[0].parity(bodies, runs, ids)]
 
     return map_batches(df, run, [("n_ids", T.LongType()), ("ids_crc32", T.LongType()), ("decoded", T.StringType()), ("parity", T.BooleanType())])
 
